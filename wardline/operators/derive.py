@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.neighbours import id_block, next_in_group
+from wardline.operators.neighbours import id_block, neighbours
 
 READMISSION_MEASURE = "30-day readmission rate"
 
@@ -18,13 +18,12 @@ def derive_readmissions(encounters: DataFrame, window_days: int = 30) -> DataFra
     """
     stays = encounters.select("encounter_id", "patient_id", "encounter_type", "admission_date", "discharge_date")
     stays = stays.withColumn("_block", id_block("encounter_id"))
-    followed = next_in_group(
+    followed = neighbours(
         stays,
         group=["patient_id"],
         buckets=["admission_date", "_block"],
         order=["admission_date", "encounter_id"],
         payload=["encounter_id", "admission_date"],
-        out="_next",
     )
     gap = F.datediff(F.col("_next.admission_date"), F.col("discharge_date"))
     within = F.coalesce(gap.between(0, window_days), F.lit(False))

@@ -1,9 +1,9 @@
 """Lead and lag inside a group that may hold a large share of all rows.
 
 A plain window puts a whole group into one task.  Here the group is cut into
-order-preserving buckets: the neighbour is looked up inside each bucket, and
-only the last row of a bucket asks for the first row of the next bucket.  The
-bucket heads are solved the same way, one bucket column coarser.
+order-preserving buckets: neighbours are looked up inside each bucket, and only
+the rows at the ends of a bucket ask for an end of the bucket next to it.  The
+bucket ends are linked the same way, one bucket column coarser.
 """
 
 from __future__ import annotations
@@ -20,44 +20,46 @@ def id_block(column: str, bits: int = 16) -> Column:
     return F.shiftright(F.col(column), bits)
 
 
-def next_in_group(
+def neighbours(
     df: DataFrame,
     group: Sequence[str],
     buckets: Sequence[str],
     order: Sequence[str],
     payload: Sequence[str],
-    out: str,
-    descending: bool = False,
+    following: str = "_next",
+    preceding: str | None = None,
 ) -> DataFrame:
-    """Add struct ``out`` with ``payload`` of the following row of the same group.
+    """Add struct ``following`` (and ``preceding``) with the ``payload`` of the row after (before) in the group.
 
     ``buckets`` are columns of ``df``, coarse to fine, that never decrease along
-    ``order``.  With ``descending`` the order is walked backwards, which gives
-    the preceding row (a lag).  Group and bucket columns must not be null.
+    ``order``.  Group and bucket columns must not be null.
     """
-    def direction(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
-
+    cell = [*group, *buckets]
+    window = W.partitionBy(*cell).orderBy(*order)
     item = F.struct(*payload)
+    inside = df.withColumn(following, F.lead(item).over(window))
+    if preceding:
+        inside = inside.withColumn(preceding, F.lag(item).over(window))
     if not buckets:
-        window = W.partitionBy(*group).orderBy(*[direction(c) for c in order])
-        return df.withColumn(out, F.lead(item).over(window))
+        return inside
 
-    cell = [*group, *buckets]
-    window = W.partitionBy(*cell).orderBy(*[direction(c) for c in order])
-    inside = df.withColumn(out, F.lead(item).over(window))
-
-    first = F.max if descending else F.min
-    heads = (
-        df.groupBy(*cell)
-        .agg(first(F.struct(*order, *[c for c in payload if c not in order])).alias("_head"))
-        .select(*cell, "_head")
-    )
-    following = next_in_group(heads, group, buckets[:-1], buckets, ["_head"], "_following", descending).select(
+    ordered = F.struct(*order, *[c for c in payload if c not in order])
+    ends = df.groupBy(*cell).agg(
+        F.min(ordered).alias("_first"), *([F.max(ordered).alias("_last")] if preceding else []))
+    linked = neighbours(
+        ends, group, buckets[:-1], buckets, ["_first", "_last"] if preceding else ["_first"],
+        "_after", "_before" if preceding else None)
+
+    def picked(link: str, end: str) -> Column:
+        return F.when(F.col(link).isNotNull(), F.struct(*[F.col(f"{link}.{end}.{c}").alias(c) for c in payload]))
+
+    linked = linked.select(
         *[F.col(c).alias(f"_cell_{c}") for c in cell],
-        F.struct(*[F.col(f"_following._head.{c}").alias(c) for c in payload]).alias("_next_head"),
-        "_following",
-    ).filter(F.col("_following").isNotNull()).drop("_following")
-    # Equality on the bucket columns: ``inside`` is already hashed by them, so only the heads move.
-    joined = inside.join(following, [F.col(c) == F.col(f"_cell_{c}") for c in cell], "left")
-    return joined.select(*df.columns, F.coalesce(F.col(out), F.col("_next_head")).alias(out))
+        picked("_after", "_first").alias("_next_end"),
+        *([picked("_before", "_last").alias("_previous_end")] if preceding else []))
+    # Equality on the bucket columns: ``inside`` is already hashed by them, so only the ends move.
+    joined = inside.join(linked, [F.col(c) == F.col(f"_cell_{c}") for c in cell], "left")
+    return joined.select(
+        *df.columns,
+        F.coalesce(F.col(following), F.col("_next_end")).alias(following),
+        *([F.coalesce(F.col(preceding), F.col("_previous_end")).alias(preceding)] if preceding else []))

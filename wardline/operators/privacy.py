@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,7 +123,3 @@ def count_label_pick(df: DataFrame) -> DataFrame:
         raise ValueError(f"Expected one *_count column, found {names}")
     label = names[0].removesuffix("_count").replace("_", " ")
     return df.select(F.lit(label).alias("label"), F.col(names[0]).cast("bigint").alias("value"))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(Column.__or__, conditions)

@@ -176,13 +176,14 @@ LOAD_ORDER = (
     "encounter_diagnoses", "encounter_procedures", "lab_results", "readmissions", "quality_measures",
 )
 
-# Physical columns each lake row carries.
+# Physical columns each lake row carries.  The source file makes the row order total over several files.
 ROW_ORDER = "_lake_row_order"
+SOURCE_FILE = "_lake_source_file"
 BATCH_ID = "_lake_source_batch_id"
 RECORD_HASH = "_lake_record_hash"
 QUALITY_FLAGS = "_lake_quality_flags"
 REJECTION_REASON = "_lake_rejection_reason"
-LAKE_COLUMNS = (ROW_ORDER, BATCH_ID, RECORD_HASH, QUALITY_FLAGS, REJECTION_REASON)
+LAKE_COLUMNS = (SOURCE_FILE, ROW_ORDER, BATCH_ID, RECORD_HASH, QUALITY_FLAGS, REJECTION_REASON)
 
 _SPARK_TYPES = {
     "long": T.LongType(),
@@ -222,6 +223,7 @@ def lake_schema(entity: str, typed: bool = False) -> T.StructType:
     return T.StructType(
         entity_schema(entity, typed).fields
         + [
+            T.StructField(SOURCE_FILE, T.StringType(), True),
             T.StructField(ROW_ORDER, T.LongType(), False),
             T.StructField(BATCH_ID, T.StringType(), True),
             T.StructField(RECORD_HASH, T.StringType(), False),
