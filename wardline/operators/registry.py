@@ -204,6 +204,7 @@ def run_stage_summary(stage_events: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failures"),
         F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"),
         F.max_by("status", F.struct("finished_at", "stage")).alias("final_status"),
-    ).withColumn(
-        "duration_ms",
-        (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000)
+    ).withColumn("_took", F.col("finished_at") - F.col("started_at")).select(
+        "run_id", "stages", "retries", "failures", "started_at", "finished_at", "final_status",
+        (F.expr("extract(DAY FROM _took) * 86400D + extract(HOUR FROM _took) * 3600 "
+                "+ extract(MINUTE FROM _took) * 60 + extract(SECOND FROM _took)") * 1000).alias("duration_ms"))

@@ -51,8 +51,8 @@ def query(name: str):
     return add
 
 
-def _plain(name: str, build: Callable[..., DataFrame], **params) -> None:
-    query(name)(lambda tables: build(tables, **params))
+def _plain(key: str, build: Callable[..., DataFrame], /, **params) -> None:
+    query(key)(lambda tables: build(tables, **params))
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
@@ -539,7 +539,7 @@ def _(tables):
 
 @query("parity_report")
 def _(tables):
-    before, paths = _lake(tables, ["patients", "encounters", "hospitals"])
+    before, paths = _lake(tables, ["patients", "encounters", "hospitals", "quality_measures"])
     before.run(paths, "clinical", "batch-1")
     after = lake_run.Lake(tables.spark, storage.workspace(tables.spark, "lake"))
     after.run(after.write_batch({e: tables[e].repartition(3) for e in paths}, "batch-1"), "clinical", "batch-1")
