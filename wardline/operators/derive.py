@@ -76,7 +76,7 @@ def diagnosed_encounters(tables, codes: list[str], primary_only: bool = False) -
     if primary_only:
         bridge = bridge.filter(F.col("primary_diagnosis_flag") == 1)
     wanted = tables["diagnoses"].filter(F.col("diagnosis_code").isin(codes)).select("diagnosis_id")
-    return bridge.join(F.broadcast(wanted), "diagnosis_id", "left_semi").select("encounter_id").distinct()
+    return bridge.join(wanted, "diagnosis_id", "left_semi").select("encounter_id").distinct()
 
 
 def cohort(tables, with_codes: list[str], without_codes: list[str] | None = None,

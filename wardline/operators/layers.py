@@ -101,15 +101,25 @@ def to_iso_timestamp(column: Column) -> Column:
 
 
 def silver_typing(df: DataFrame) -> DataFrame:
-    """ISO text columns as dates and timestamps; text of another form becomes null."""
-    def typed(name: str, kind: str) -> Column:
+    """ISO text columns as dates and timestamps.
+
+    Text of another form becomes null; where the frame carries quality flags,
+    such a value is flagged ``date:<column>``.
+    """
+    casts: dict[str, Column] = {}
+    for name, kind in df.dtypes:
         if kind == "string" and schemas.is_timestamp_column(name):
-            return to_iso_timestamp(F.col(name)).alias(name)
-        if kind == "string" and schemas.is_date_column(name):
-            return to_iso_date(F.col(name)).alias(name)
-        return F.col(name)
+            casts[name] = to_iso_timestamp(F.col(name))
+        elif kind == "string" and schemas.is_date_column(name):
+            casts[name] = to_iso_date(F.col(name))
+    lost = [F.when(F.col(name).isNotNull() & cast.isNull(), f"date:{name}") for name, cast in casts.items()]
+
+    def out(name: str) -> Column:
+        if name == schemas.QUALITY_FLAGS and lost:
+            return F.concat(F.col(name), F.array_compact(F.array(*lost))).alias(name)
+        return casts[name].alias(name) if name in casts else F.col(name)
 
-    return df.select(*[typed(name, kind) for name, kind in df.dtypes])
+    return df.select(*[out(name) for name in df.columns])
 
 
 def as_iso_text(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ bucket ends are linked the same way, one bucket column coarser.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,15 +43,25 @@ def neighbours(
     if not buckets:
         return inside
 
-    ordered = F.struct(*order, *[c for c in payload if c not in order])
-    ends = df.groupBy(*cell).agg(
-        F.min(ordered).alias("_first"), *([F.max(ordered).alias("_last")] if preceding else []))
+    # Only what varies inside a cell is compared; a single number keeps the aggregate hash-based.
+    varying = [c for c in dict.fromkeys([*order, *payload]) if c not in cell]
+    compared = F.struct(*varying) if len(varying) > 1 else F.col(varying[0])
+
+    def end(extreme: Callable[[Column], Column], name: str) -> Column:
+        return extreme(compared).alias(name)
+
+    def rebuilt(name: str) -> Column:
+        part = {c: (F.col(f"{name}.{c}") if len(varying) > 1 else F.col(name)) for c in varying}
+        return F.struct(*[part.get(c, F.col(c)).alias(c) for c in payload]).alias(name)
+
+    ends = df.groupBy(*cell).agg(end(F.min, "_first"), *([end(F.max, "_last")] if preceding else [])).select(
+        *cell, rebuilt("_first"), *([rebuilt("_last")] if preceding else []))
     linked = neighbours(
         ends, group, buckets[:-1], buckets, ["_first", "_last"] if preceding else ["_first"],
         "_after", "_before" if preceding else None)
 
-    def picked(link: str, end: str) -> Column:
-        return F.when(F.col(link).isNotNull(), F.struct(*[F.col(f"{link}.{end}.{c}").alias(c) for c in payload]))
+    def picked(link: str, name: str) -> Column:
+        return F.when(F.col(link).isNotNull(), F.col(f"{link}.{name}"))
 
     linked = linked.select(
         *[F.col(c).alias(f"_cell_{c}") for c in cell],

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
+from wardline.functions.local import local_table
 
 Tables = Mapping[str, DataFrame]
 
@@ -89,16 +90,40 @@ def categorical_domains(tables: Tables) -> DataFrame:
     ])
 
 
+def _referenced(tables: Tables, references) -> tuple[DataFrame, DataFrame]:
+    """Used keys with their row counts, and known parent keys, over all references at once.
+
+    Each child and each parent is read once.  Rows collapse to one per used key
+    before the shuffle, so a key held by many rows weighs no more than another.
+    """
+    by_child: dict[str, list] = {}
+    for child, column, parent, key in references:
+        by_child.setdefault(child, []).append((column, parent, key))
+    used = _union([
+        tables[child].select(F.inline(F.array(*[
+            F.struct(F.lit(f"{child}.{column}").alias("child"), F.lit(f"{parent}.{key}").alias("parent"),
+                     F.col(column).cast("bigint").alias("key")) for column, parent, key in edges])))
+        .filter(F.col("key").isNotNull()).groupBy("child", "parent", "key").agg(F.count("*").alias("rows"))
+        for child, edges in by_child.items()])
+    known = _union([
+        tables[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("bigint").alias("key"))
+        for parent, key in dict.fromkeys((parent, key) for _, _, parent, key in references)])
+    return used, known
+
+
+def _edge_list(tables: Tables, references) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession
+    return local_table(
+        spark, [(f"{c}.{k}", f"{p}.{pk}", c, k) for c, k, p, pk in references],
+        "child STRING, parent STRING, entity STRING, column_name STRING")
+
+
 def foreign_keys(tables: Tables, references=schemas.REFERENCES) -> DataFrame:
     """Rows whose reference has no parent; a null reference passes."""
-    parts = []
-    for child, column, parent, parent_column in references:
-        used = tables[child].groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_rows")).filter(
-            F.col("_key").isNotNull())
-        known = tables[parent].select(F.col(parent_column).alias("_key"))
-        orphans = used.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations"))
-        parts.append(orphans.select(*_result(F.lit(f"foreign_key:{column}"), F.lit(child), F.col("violations"))))
-    return _union(parts)
+    used, known = _referenced(tables, references)
+    orphans = used.join(known, ["parent", "key"], "left_anti").groupBy("child").agg(F.sum("rows").alias("_orphans"))
+    return _edge_list(tables, references).join(orphans, "child", "left").select(*_result(
+        F.concat(F.lit("foreign_key:"), "column_name"), F.col("entity"), F.coalesce("_orphans", F.lit(0))))
 
 
 def foreign_keys_lake(tables: Tables) -> DataFrame:
@@ -123,8 +148,12 @@ def missingness(tables: Tables, entities: Sequence[str] | None = None, threshold
 
 
 def quality_rate_bounds(tables: Tables) -> DataFrame:
-    bad = ~(F.col("measure_value").between(0, 1) & (F.col("numerator") <= F.col("denominator")))
-    return _counted(tables["quality_measures"], "quality_measures", [("quality_rate_bounds", F.coalesce(bad, F.lit(True)))])
+    return _counted(tables["quality_measures"], "quality_measures", gold_rules("quality_measures"))
+
+
+def _rate_out_of_bounds() -> Column:
+    good = F.col("measure_value").between(0, 1) & (F.col("numerator") <= F.col("denominator"))
+    return ~F.coalesce(good, F.lit(False))
 
 
 def check_constraints(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
@@ -184,22 +213,41 @@ def parse_success(parsed: DataFrame, entity: str, max_ratio: float = 0.0) -> Dat
         (F.col("violations") <= F.lit(max_ratio) * F.col("_rows")).alias("passed"))
 
 
-def expected_columns(bronze: DataFrame, entity: str) -> DataFrame:
-    """Rows whose source object lacked a key column."""
+def flagged(mark: str) -> Column:
+    return F.array_contains(F.col(schemas.QUALITY_FLAGS), mark)
+
+
+def bronze_rules(entity: str) -> list[tuple[str, Column]]:
+    """Violations a written bronze row can show: a key column the source object lacked."""
     marks = F.array(*[F.lit(f"missing:{k}") for k in schemas.ENTITY_KEYS[entity]])
-    return _counted(bronze, entity, [("expected_columns", F.arrays_overlap(F.col(schemas.QUALITY_FLAGS), marks))])
+    return [("expected_columns", F.arrays_overlap(F.col(schemas.QUALITY_FLAGS), marks))]
 
 
-def mistyped_identifiers(bronze: DataFrame, entity: str) -> DataFrame:
-    """Identifier missing, not positive, or not an integer in the source."""
-    key = schemas.ENTITY_KEYS[entity][0]
-    flagged = F.array_contains(F.col(schemas.QUALITY_FLAGS), f"type:{key}")
-    return _counted(bronze, entity, [("identifier_validity", flagged | _bad_identifier(key))])
+def silver_rules(entity: str) -> list[tuple[str, Column]]:
+    """Violations a written silver row can show: identifier, dates, categorical domain."""
+    rules = []
+    if entity != "lab_results":
+        key = schemas.ENTITY_KEYS[entity][0]
+        rules.append(("identifier_validity", flagged(f"type:{key}") | _bad_identifier(key)))
+    for name in schemas.columns(entity):
+        if schemas.is_date_column(name) or schemas.is_timestamp_column(name):
+            rules.append((f"date_parse:{name}", flagged(f"date:{name}") | flagged(f"type:{name}")))
+    if entity in schemas.DOMAINS:
+        column, values = schemas.DOMAINS[entity]
+        rules.append((f"categorical_domain:{column}", ~F.coalesce(F.col(column).isin(*values), F.lit(False))))
+    return rules
 
 
-def required_entities(present: Sequence[str], spark, required: Sequence[str] = schemas.REQUIRED_GOLD) -> DataFrame:
-    from wardline.functions.local import local_table
+def gold_rules(entity: str) -> list[tuple[str, Column]]:
+    return [("quality_rate_bounds", _rate_out_of_bounds())] if entity == "quality_measures" else []
+
+
+def row_rules(frame: DataFrame, entity: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """The given row rules of one entity, in one pass."""
+    return _counted(frame, entity, rules)
 
+
+def required_entities(present: Sequence[str], spark, required: Sequence[str] = schemas.REQUIRED_GOLD) -> DataFrame:
     missing = len(set(required) - set(present))
     return local_table(spark, [("required_entities", None, missing, missing == 0)],
                        "check STRING, entity STRING, violations BIGINT, passed BOOLEAN")
@@ -242,16 +290,15 @@ def gate(checks: DataFrame) -> DataFrame:
 
 
 def dimension_join_check(tables: Tables, edges=schemas.REFERENCES) -> DataFrame:
-    """Profile of each approved join edge: used keys, orphan rows, widest fan-out."""
-    parts = []
-    for child, column, parent, parent_column in edges:
-        used = tables[child].groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_rows")).filter(
-            F.col("_key").isNotNull())
-        known = tables[parent].select(F.col(parent_column).alias("_key"), F.lit(True).alias("_known"))
-        parts.append(used.join(known, "_key", "left").agg(
-            F.count("*").alias("used_keys"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_rows"))), F.lit(0)).alias("orphan_rows"),
-            F.coalesce(F.max("_rows"), F.lit(0)).alias("max_fan_out"),
-        ).select(F.lit(f"{child}.{column}").alias("child"), F.lit(f"{parent}.{parent_column}").alias("parent"),
-                 "used_keys", "rows", "orphan_rows", "max_fan_out"))
-    return _union(parts)
+    """Profile of each approved join edge: used keys, rows, orphan rows, widest fan-out."""
+    used, known = _referenced(tables, edges)
+    profile = used.join(known.withColumn("_known", F.lit(True)), ["parent", "key"], "left").groupBy("child").agg(
+        F.count("*").alias("_keys"), F.sum("rows").alias("_rows"),
+        F.sum(F.when(F.col("_known").isNull(), F.col("rows"))).alias("_orphans"), F.max("rows").alias("_widest"))
+
+    def whole(name: str, out: str) -> Column:
+        return F.coalesce(name, F.lit(0)).alias(out)
+
+    return _edge_list(tables, edges).join(profile, "child", "left").select(
+        "child", "parent", whole("_keys", "used_keys"), whole("_rows", "rows"), whole("_orphans", "orphan_rows"),
+        whole("_widest", "max_fan_out"))

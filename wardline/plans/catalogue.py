@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.derive import READMISSION_MEASURE, diagnosed_encounters
+from wardline.sources.storage import materialize
 from wardline.plans.views import Tables, assessed_encounters, hospital_readmission_summary, length_of_stay, ratio
 
 # The codes the cohort queries look for.
@@ -81,7 +82,7 @@ def comorbidity_cohort(tables: Tables, cohort_code: str = DIABETES, other_code:
     wanted = tables["diagnoses"].filter(F.col("diagnosis_code").isin(cohort_code, other_code)).select(
         "diagnosis_id", "diagnosis_code")
     flags = (
-        tables["encounter_diagnoses"].join(F.broadcast(wanted), "diagnosis_id").groupBy("encounter_id")
+        tables["encounter_diagnoses"].join(wanted, "diagnosis_id").groupBy("encounter_id")
         .agg(F.bool_or(F.col("diagnosis_code") == cohort_code).alias("in_cohort"),
              F.bool_or(F.col("diagnosis_code") == other_code).alias("has_other"))
         .filter("in_cohort")
@@ -216,9 +217,12 @@ def outlier_cost(tables: Tables, factor: float = 3.0, top: int = 100) -> DataFra
     """q17: cost above a multiple of the hospital mean.
 
     Means are aggregated (one row per hospital) and joined back; a window would
-    put each hospital's encounters into one task.
+    put each hospital's encounters into one task.  The means are written first,
+    so Spark knows their real size and broadcasts them only if that allows;
+    otherwise the join is a sort-merge join whose skewed keys AQE splits.
     """
-    means = tables["encounters"].groupBy("hospital_id").agg(F.avg("total_cost").alias("hospital_mean"))
+    means = materialize(
+        tables["encounters"].groupBy("hospital_id").agg(F.avg("total_cost").alias("hospital_mean")), "means")
     return (
         tables["encounters"].select("encounter_id", "hospital_id", "total_cost").join(means, "hospital_id")
         .filter(F.col("total_cost") > F.lit(factor) * F.col("hospital_mean"))

@@ -384,7 +384,8 @@ def _(tables):
     parsed = lines.parse_lines(tables.star.events.select(F.col("props").alias("line"))).filter("is_object")
     fields, flags = lines.typed_fields(parsed, "patients")
     bronze = parsed.select(*fields, flags.alias(schemas.QUALITY_FLAGS))
-    return quality.expected_columns(bronze, "patients").unionByName(quality.mistyped_identifiers(bronze, "patients"))
+    rules = quality.bronze_rules("patients") + quality.silver_rules("patients")[:1]
+    return quality.row_rules(bronze, "patients", rules)
 
 
 @query("dq_duplicate_source_objects")

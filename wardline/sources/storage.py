@@ -98,11 +98,14 @@ def write_serving_tables(
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Incoming rows whose key is not in ``target``, one per key (the first by ``order``)."""
+    """Incoming rows whose key is not in ``target``, one per key (the first by ``order``).
+
+    Repeats are cut before the lookup, so a key that arrives very often is one row in it.
+    """
     from wardline.operators.layers import first_per_key
 
-    fresh = incoming.join(target.select(*keys), list(keys), "left_anti")
-    return first_per_key(fresh.select(*incoming.columns), keys, order or [c for c in incoming.columns if c not in keys])
+    once = first_per_key(incoming, keys, order or [c for c in incoming.columns if c not in keys])
+    return once.join(target.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
 
 def incremental_batch(parent: DataFrame, incoming: DataFrame, keys: Sequence[str], parent_batch: str, batch: str) -> DataFrame:
