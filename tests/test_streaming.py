@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardline.sources.storage import workspace
@@ -17,20 +18,22 @@ def event(n, day):
     return {"event_id": n, "value": float(n), "ts": f"2024-01-{day:02d} 10:00:00"}
 
 
-def run(spark, root):
-    ingest_lines(spark, f"{root}/drop", f"{root}/bronze", f"{root}/checkpoint", SCHEMA, ["event_id"], "ts", 1)
+def run(spark, root, key_fixes_day):
+    ingest_lines(
+        spark, f"{root}/drop", f"{root}/bronze", f"{root}/checkpoint", SCHEMA, ["event_id"], "ts", 1, key_fixes_day)
     return spark.read.schema("event_id BIGINT").parquet(f"{root}/bronze")
 
 
-def test_new_files_once_and_no_repeats(spark):
+@pytest.mark.parametrize("key_fixes_day", [False, True])
+def test_new_files_once_and_no_repeats(spark, key_fixes_day):
     root = workspace(spark, "stream-test")
     drop(spark, f"{root}/drop", [event(1, 5), event(2, 5), event(2, 5), "not json"])
-    assert sorted(r.event_id for r in run(spark, root).collect()) == [1, 2]
+    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2]
     # A later drop repeats a key and brings a row that is a month late; the late row is kept.
     drop(spark, f"{root}/drop", [event(2, 5), event(3, 20)])
     drop(spark, f"{root}/drop", [event(4, 1), event(3, 20)])
-    assert sorted(r.event_id for r in run(spark, root).collect()) == [1, 2, 3, 4]
-    assert sorted(r.event_id for r in run(spark, root).collect()) == [1, 2, 3, 4]
+    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2, 3, 4]
+    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2, 3, 4]
     assert [r.value for r in spark.read.text(f"{root}/bronze_rejected").collect()] == ["not json"]
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.local import union_all
 from wardline.schemas import RECORD_HASH
 
 
@@ -55,7 +55,7 @@ def dataset_logical_hash(tables: Mapping[str, DataFrame], entities: Sequence[str
         frame = tables[entity]
         line = F.concat(F.lit(f"{entity}:"), canonical_json(frame.columns))
         parts.append(frame.select(F.sha2(line, 256).alias(RECORD_HASH)).agg(*checksum_columns()))
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = union_all(parts)
     return merged.agg(
         F.sum("row_count").alias("row_count"),
         F.sum(F.col("hash_sum").cast("decimal(38,0)")).cast("string").alias("hash_sum"),

@@ -1,4 +1,4 @@
-"""Small constant tables as local relations (known size, no Python RDD behind them)."""
+"""Small constant tables, and unions of many frames."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def _literal(value) -> str:
 
 
 def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """``VALUES`` table with the given DDL schema; meant for a few hundred constant rows."""
+    """``VALUES`` table with the given DDL schema, for a few hundred constant rows: a relation of known size."""
     struct = T.StructType.fromDDL(schema)
     names = [f"`{f.name}`" for f in struct.fields]
     body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
@@ -28,3 +28,11 @@ def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> D
         return spark.createDataFrame([], struct)
     casts = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS {n}" for n, f in zip(names, struct.fields))
     return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree, so that analysis does not walk a growing chain once per frame."""
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [a.unionByName(b) for a, b in zip(frames[::2], frames[1::2])] + (frames[-1:] if len(frames) % 2 else [])
+    return frames[0]

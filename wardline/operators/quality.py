@@ -8,14 +8,13 @@ row per task before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
-from wardline.functions.local import local_table
+from wardline.functions.local import local_table, union_all
 
 Tables = Mapping[str, DataFrame]
 
@@ -42,14 +41,10 @@ def _counted(frame: DataFrame, entity: str, rules: Sequence[tuple[str, Column]])
     return counts.select(F.inline(lines)).select(*_result(F.col("check"), F.lit(entity), F.col("violations")))
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def identifier_validity(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
     """First key column present and positive; lab results have no own identifier at the source."""
     names = [e for e in (entities or list(tables)) if e != "lab_results"]
-    return _union([
+    return union_all([
         _counted(tables[e], e, [("identifier_validity", _bad_identifier(schemas.ENTITY_KEYS[e][0]))]) for e in names
     ])
 
@@ -80,11 +75,11 @@ def date_parse(tables: Tables, entities: Sequence[str] | None = None) -> DataFra
         fields = _dated(tables[entity])
         if fields:
             parts.append(_counted(tables[entity], entity, [(f"date_parse:{f.name}", ~valid_iso(f)) for f in fields]))
-    return _union(parts)
+    return union_all(parts)
 
 
 def categorical_domains(tables: Tables) -> DataFrame:
-    return _union([
+    return union_all([
         _counted(tables[e], e, [(f"categorical_domain:{column}", ~F.coalesce(F.col(column).isin(*values), F.lit(False)))])
         for e, (column, values) in schemas.DOMAINS.items() if e in tables
     ])
@@ -99,13 +94,13 @@ def _referenced(tables: Tables, references) -> tuple[DataFrame, DataFrame]:
     by_child: dict[str, list] = {}
     for child, column, parent, key in references:
         by_child.setdefault(child, []).append((column, parent, key))
-    used = _union([
+    used = union_all([
         tables[child].select(F.inline(F.array(*[
             F.struct(F.lit(f"{child}.{column}").alias("child"), F.lit(f"{parent}.{key}").alias("parent"),
                      F.col(column).cast("bigint").alias("key")) for column, parent, key in edges])))
         .filter(F.col("key").isNotNull()).groupBy("child", "parent", "key").agg(F.count("*").alias("rows"))
         for child, edges in by_child.items()])
-    known = _union([
+    known = union_all([
         tables[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("bigint").alias("key"))
         for parent, key in dict.fromkeys((parent, key) for _, _, parent, key in references)])
     return used, known
@@ -144,7 +139,7 @@ def missingness(tables: Tables, entities: Sequence[str] | None = None, threshold
             F.lit(entity).alias("entity"), "column_name", F.col("_rows").alias("row_count"), "null_count",
             F.coalesce(F.try_divide(F.col("null_count").cast("double"), F.col("_rows")), F.lit(0.0)).alias("null_rate"),
         ))
-    return _union(parts).withColumn("passed", F.col("null_rate") <= threshold)
+    return union_all(parts).withColumn("passed", F.col("null_rate") <= threshold)
 
 
 def quality_rate_bounds(tables: Tables) -> DataFrame:
@@ -159,14 +154,14 @@ def _rate_out_of_bounds() -> Column:
 def check_constraints(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
     """Declared row constraints; a constraint that is unknown (null) holds."""
     names = entities or list(dict.fromkeys(e for e, _, _ in schemas.CHECKS))
-    return _union([
+    return union_all([
         _counted(tables[e], e, [(f"check:{column}", ~F.expr(rule)) for owner, column, rule in schemas.CHECKS if owner == e])
         for e in names
     ])
 
 
 def not_null(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
-    return _union([
+    return union_all([
         _counted(tables[e], e, [
             (f"not_null:{name}", F.col(name).isNull()) for name, _, nullable in schemas.ENTITY_FIELDS[e] if not nullable
         ]) for e in (entities or list(tables))
@@ -181,7 +176,7 @@ def unique_keys(tables: Tables, entities: Sequence[str] | None = None) -> DataFr
             repeated = tables[entity].groupBy(*key).agg(F.count("*").alias("_n")).agg(
                 F.count_if(F.col("_n") > 1).alias("violations"))
             parts.append(repeated.select(*_result(F.lit("unique:" + ",".join(key)), F.lit(entity), F.col("violations"))))
-    return _union(parts)
+    return union_all(parts)
 
 
 def expected_objects(parent: DataFrame, child: DataFrame) -> DataFrame:

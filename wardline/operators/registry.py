@@ -206,5 +206,5 @@ def run_stage_summary(stage_events: DataFrame) -> DataFrame:
         F.max_by("status", F.struct("finished_at", "stage")).alias("final_status"),
     ).withColumn("_took", F.col("finished_at") - F.col("started_at")).select(
         "run_id", "stages", "retries", "failures", "started_at", "finished_at", "final_status",
-        (F.expr("extract(DAY FROM _took) * 86400D + extract(HOUR FROM _took) * 3600 "
-                "+ extract(MINUTE FROM _took) * 60 + extract(SECOND FROM _took)") * 1000).alias("duration_ms"))
+        F.expr("CAST((extract(DAY FROM _took) * 86400L + extract(HOUR FROM _took) * 3600 "
+               "+ extract(MINUTE FROM _took) * 60 + extract(SECOND FROM _took)) * 1000 AS DOUBLE)").alias("duration_ms"))

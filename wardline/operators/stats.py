@@ -8,6 +8,7 @@ that row.  Every test takes ``by`` columns and returns one row per group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions import tails
+from wardline.sources.storage import materialize
 
 # Smallest samples, and the notes each test carries.
 MIN_TABLE_TOTAL = 10
@@ -165,15 +167,18 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return _correlation_p(out, "pearson_correlation", by)
 
 
-def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 64) -> DataFrame:
+def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 256) -> DataFrame:
     """Add ``mean_rank`` to a table of distinct values and their row counts.
 
     Ranks need a running total over all values.  The values are cut at
     approximate quantiles (at most ``buckets`` numbers reach the driver), summed
-    inside each bucket, and shifted by the total of the buckets before.
+    inside each bucket, and shifted by the total of the buckets before.  The
+    table is written first, as it is read for the quantiles and for the ranks.
     """
+    counts = materialize(counts, "ranks")
     edges = counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-    splits = [float("-inf"), *sorted({e for e in edges if e == e}), float("inf")]
+    inner = sorted({e for e in edges if isfinite(e)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
     placed = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(counts)
     running = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inside = placed.withColumn("_before", F.coalesce(F.sum(weight).over(running), F.lit(0)))
@@ -227,9 +232,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are combined first; each side's ranks come from its distinct
     values; ranks are centred before they are multiplied.
     """
-    pairs = (
+    pairs = materialize(
         df.select(_double(x).alias("_x"), _double(y).alias("_y")).dropna()
-        .groupBy("_x", "_y").agg(F.count("*").alias("_w")))
+        .groupBy("_x", "_y").agg(F.count("*").alias("_w")), "pairs")
     rank_x = rank_positions(pairs.groupBy("_x").agg(F.sum("_w").alias("_n")), "_x", "_n").select(
         "_x", F.col("mean_rank").alias("_rx"))
     rank_y = rank_positions(pairs.groupBy("_y").agg(F.sum("_w").alias("_n")), "_y", "_n").select(

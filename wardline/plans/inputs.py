@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.functions.identity import stable_identity
-from wardline.functions.local import local_table
+from wardline.functions.local import local_table, union_all
 from wardline.sources.star import ClinicalTables
 
 # The evaluation questions with their expected tables, clarification and denial.
@@ -84,7 +83,7 @@ def ownership_edges(tables: ClinicalTables) -> DataFrame:
     def node(kind: str, column: str) -> Column:
         return F.concat(F.lit(f"{kind}-"), F.col(column).cast("string"))
 
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         star.orders.select(node("order", "o_orderkey").alias("child_id"), node("customer", "o_custkey").alias("parent_id")),
         star.customer.select(node("customer", "c_custkey").alias("child_id"), node("nation", "c_nationkey").alias("parent_id")),
         star.nation.select(node("nation", "n_nationkey").alias("child_id"), node("region", "n_regionkey").alias("parent_id")),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.local import local_table
+from wardline.functions.local import local_table, union_all
 from wardline.plans.views import Tables, assessed_encounters, length_of_stay, ratio
 
 # Groupings every metric allows, and the default smallest group.
@@ -145,7 +144,7 @@ def metric(
             counted.join(names, "diagnosis_id").groupBy("diagnosis_name").agg(*final).select(
                 F.lit("diagnosis").alias("grouping"), F.col("diagnosis_name").alias("group_value"),
                 "denominator", "value" if median else "_sum"))
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = union_all(parts)
     if not median:
         whole = F.col("_sum").cast("double")
         merged = merged.withColumn(
@@ -186,7 +185,7 @@ def diagnosis_prevalence(
         parts.append(carriers.join(cohort_size, ["grouping", "group_value"]).select(
             "grouping", F.concat_ws(": ", "group_value", "diagnosis_name").alias("group_value"),
             "denominator", "numerator"))
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = union_all(parts)
     return minimum_sample(
         merged.select(F.lit("diagnosis_prevalence").alias("metric"), "grouping", "group_value", "denominator",
                       ratio("numerator", "denominator").alias("value")), min_n)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.local import union_all
 from wardline.plans import catalogue as cat
 from wardline.plans.views import Tables, ratio
 
@@ -32,7 +32,7 @@ def row_counts(tables: Tables, entities=None) -> DataFrame:
         tables[name].agg(F.count("*").alias("row_count")).select(F.lit(name).alias("entity"), "row_count")
         for name in (entities or list(tables))
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return union_all(counts)
 
 
 def dataset_structure(tables: Tables) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from wardline import schemas
 from wardline.functions import identity as ident
 from wardline.functions import text as tx
-from wardline.functions.local import local_table
+from wardline.functions.local import local_table, union_all
 from wardline.operators import compare, derive, layers, privacy, quality, registry, stats
 from wardline.plans import catalogue as cat
 from wardline.plans import inputs, lake_run, metrics, questions, views
@@ -104,7 +104,7 @@ def _(tables):
 @query("src_table_scan")
 def _(tables):
     names = views.register_views(tables.spark, tables)
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         tables.spark.sql(f"SELECT '{name}' AS relation, count(*) AS row_count FROM {name}") for name in names])
 
 
@@ -123,7 +123,7 @@ def _(tables):
         storage.write_version(layers.lake_row_metadata(tables["providers"], f"batch-{i}"), root, "silver", "providers",
                               ["provider_id"]) for i in (1, 2)
     ]
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         storage.read_entity(tables.spark, path, "providers").groupBy(schemas.BATCH_ID).agg(
             F.count("*").alias("row_count"), F.sum("provider_id").alias("id_total")) for path in paths])
 
@@ -336,7 +336,7 @@ _MART_METRICS = ("mortality_rate", "complication_rate", "encounter_volume")
 @query("gold_metric_marts")
 def _(tables):
     path = storage.workspace(tables.spark, "marts")
-    marts = reduce(DataFrame.unionByName, [metrics.metric(tables, name) for name in _MART_METRICS])
+    marts = union_all([metrics.metric(tables, name) for name in _MART_METRICS])
     marts.write.partitionBy("metric").parquet(path)
     return tables.spark.read.schema(marts.schema).parquet(path)
 
@@ -352,7 +352,7 @@ def _(tables):
 
 
 def _checksums(tables: ClinicalTables, frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         ident.content_checksum(ident.hashed(layers.as_iso_text(f))).withColumn("entity", F.lit(e)) for e, f in frames.items()])
 
 
@@ -375,7 +375,7 @@ def _(tables):
 @query("dq_parse_success")
 def _(tables):
     parsed = _parsed_drop(tables)
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         quality.parse_success(parsed.filter(F.col("source") == name), name) for name in ("events", "conversations")])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators.layers import first_per_key
 from wardline.sources.lines import parse_lines
+from wardline.sources.storage import materialize
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,13 +26,16 @@ def ingest_lines(
     keys: Sequence[str],
     day_column: str,
     files_per_trigger: int | None = None,
+    key_fixes_day: bool = False,
 ) -> None:
     """Take every new file once and append rows with unseen keys to ``target``.
 
     Each micro-batch writes its own folder, overwritten if the batch is retried,
-    so a restart neither loses nor doubles rows.  A key is looked up only in the
-    days the batch touches (the target is laid out by day), and no row is ever
-    dropped for being late.  Malformed lines go to ``<target>_rejected``.
+    so a restart neither loses nor doubles rows, and no row is dropped for being
+    late.  A key is looked up in everything ingested before; where a key can
+    only ever come with one day, ``key_fixes_day`` limits the lookup to the days
+    of the batch (the target is laid out by day).  Malformed lines go to
+    ``<target>_rejected``.
     """
     stream = spark.readStream.format("text")
     if files_per_trigger:
@@ -39,16 +43,14 @@ def ingest_lines(
     lines = stream.load(source).withColumnRenamed("value", "line")
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         parsed = parse_lines(batch)
         rejected = parsed.filter(~F.col("is_object")).select("line")
         rejected.write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
         rows = parsed.filter("is_object").select(F.from_json("line", schema).alias("row")).select("row.*")
-        rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys])
-        rows = rows.withColumn("_day", F.to_date(day_column))
-        earlier = _earlier_batches(session, target, batch_id, [*keys, "_day"], rows)
-        if earlier is not None:
-            rows = rows.join(earlier, [*keys, "_day"], "left_anti").select(*rows.columns)
+        rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys]).withColumn("_day", F.to_date(day_column))
+        if batch_id and _exists(batch.sparkSession, target):
+            rows = materialize(rows, "micro-batch")
+            rows = _unseen(rows, target, batch_id, keys, key_fixes_day)
         rows.write.mode("overwrite").partitionBy("_day").parquet(f"{target}/batch={batch_id}")
 
     query = (
@@ -58,12 +60,14 @@ def ingest_lines(
     query.awaitTermination()
 
 
-def _earlier_batches(spark: SparkSession, target: str, batch_id: int, columns: list[str], like: DataFrame) -> DataFrame | None:
-    if batch_id == 0 or not _exists(spark, target):
-        return None
-    types = {f.name: f.dataType.simpleString() for f in like.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", batch INT"
-    return spark.read.schema(schema).parquet(target).filter(F.col("batch") < batch_id).select(*columns)
+def _unseen(rows: DataFrame, target: str, batch_id: int, keys: Sequence[str], key_fixes_day: bool) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "_day"]) + ", batch INT"
+    earlier = rows.sparkSession.read.schema(schema).parquet(target).filter(F.col("batch") < batch_id)
+    if key_fixes_day:
+        days = [r[0] for r in rows.select("_day").distinct().collect()]  # one value per calendar day
+        earlier = earlier.filter(F.col("_day").isin(days))
+    return rows.join(earlier.select(*keys), list(keys), "left_anti").select(*rows.columns)
 
 
 def deduplicated_stream(stream: DataFrame, keys: Sequence[str], time_column: str, delay: str) -> DataFrame:
