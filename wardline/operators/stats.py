@@ -167,7 +167,7 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return _correlation_p(out, "pearson_correlation", by)
 
 
-def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 256) -> DataFrame:
+def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 1024) -> DataFrame:
     """Add ``mean_rank`` to a table of distinct values and their row counts.
 
     Ranks need a running total over all values.  The values are cut at

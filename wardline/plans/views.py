@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.functions.sql_names import register_sql_functions
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -48,7 +50,8 @@ def hospital_readmission_summary(tables: Tables) -> DataFrame:
 
 
 def register_views(spark: SparkSession, tables: Tables) -> list[str]:
-    """Temp views for the eleven entities and the two named views, for ``spark.sql`` users."""
+    """Temp views for the eleven entities and the two named views, and the SQL names Spark lacks."""
+    register_sql_functions(spark)
     frames = {name: tables[name] for name in tables}
     frames["encounter_facts"] = encounter_facts(tables)
     frames["hospital_readmission_summary"] = hospital_readmission_summary(tables)

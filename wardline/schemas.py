@@ -176,6 +176,9 @@ LOAD_ORDER = (
     "encounter_diagnoses", "encounter_procedures", "lab_results", "readmissions", "quality_measures",
 )
 
+# Layout of gold files: year, quarter and period filters run over the admission day.
+CLUSTER_KEYS = {"encounters": ("admission_date", "encounter_id")}
+
 # Physical columns each lake row carries.  The source file makes the row order total over several files.
 ROW_ORDER = "_lake_row_order"
 SOURCE_FILE = "_lake_source_file"

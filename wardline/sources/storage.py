@@ -45,13 +45,19 @@ def read_entity(spark: SparkSession, path: str, entity: str, typed: bool = False
     return spark.read.schema(schema).parquet(path)
 
 
-def write_version(df: DataFrame, root: str, layer: str, entity: str, sort_key: Sequence[str] = ()) -> str:
+def write_version(
+    df: DataFrame, root: str, layer: str, entity: str, sort_key: Sequence[str] = (), cluster_by: Sequence[str] = (),
+) -> str:
     """Write a new immutable object version and return its path.
 
-    Rows keep the partitioning the plan ends with (AQE sizes it); sorting by key
-    inside each file makes its min/max statistics useful to later scans.
+    ``cluster_by`` spreads the rows over files by value range, so that a scan
+    with a filter on the leading column skips most files by their statistics;
+    further columns split a value that many rows share.  Otherwise rows keep the
+    partitioning the plan ends with, and ``sort_key`` orders each file.
     """
     path = f"{root}/objects/{layer}/{entity}/{uuid.uuid4().hex}"
+    if cluster_by:
+        df, sort_key = df.repartitionByRange(*cluster_by), cluster_by
     out = df.sortWithinPartitions(*sort_key) if sort_key else df
     out.write.mode("errorifexists").parquet(path)
     return path
