@@ -21,7 +21,7 @@ SUPPORTED = {
 }
 LIST_BOUND = 1000
 AUDIT_BOUND = 100
-PUBLISHABLE = ("validated", "active")
+PUBLISHABLE = ("validated", "completed", "active")
 
 
 def snapshot_active(snapshots: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame:

@@ -132,22 +132,22 @@ def welch_t(df: DataFrame, value: str, in_first: Column, by: Sequence[str] = ())
 
 
 def one_way_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
-    """F test of equal group means, from count, mean and variance per group."""
+    """F test of equal group means, from count, mean and variance per group; null if a group has under two values."""
     per_group = df.groupBy(*by, group).agg(
         F.count(_double(value)).alias("_n"), F.avg(_double(value)).alias("_m"),
-        F.coalesce(F.var_samp(_double(value)), F.lit(0.0)).alias("_v")).filter(F.col("_n") >= MIN_GROUP)
+        F.coalesce(F.var_samp(_double(value)), F.lit(0.0)).alias("_v"))
     # Deviations are taken from a mean that is known first, so nothing large cancels.
     grand = per_group.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_grand"))
     joined = per_group.join(grand, list(by)) if by else per_group.withColumn("_grand", grand.scalar())
     overall = joined.groupBy(*by).agg(
-        F.count("*").alias("_k"), F.sum("_n").alias("_total"),
+        F.count("*").alias("_k"), F.sum("_n").alias("_total"), F.min("_n").alias("_least"),
         F.sum((F.col("_n") - 1) * F.col("_v")).alias("_within"),
         F.sum(F.col("_n") * F.pow(F.col("_m") - F.col("_grand"), 2)).alias("_between"))
     between = F.col("_between")
     d1, d2 = _double("_k") - 1, _double("_total") - _double("_k")
     statistic = F.try_divide(F.try_divide(between, d1), F.try_divide(F.col("_within"), d2))
     out = overall.select(
-        *by, F.when(F.col("_k") >= 2, statistic).alias("statistic"), d1.alias("df_between"), d2.alias("df_within"),
+        *by, F.when((F.col("_k") >= 2) & (F.col("_least") >= MIN_GROUP), statistic).alias("statistic"), d1.alias("df_between"), d2.alias("df_within"),
         F.col("_total").alias("n"), F.lit(ANOVA_NOTE).alias("note"))
     return out.withColumn("p_value", tails.f_p(F.col("statistic"), F.col("df_between"), F.col("df_within")))
 
