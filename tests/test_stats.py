@@ -149,6 +149,22 @@ def test_correlations(spark, sample):
     assert rho.n == 400
 
 
+def test_groups_give_what_each_group_gives_alone(spark, sample):
+    frame = spark.createDataFrame([(n % 3, v, w, g) for n, (v, w, g) in enumerate(sample)], "k INT, v INT, w INT, g BOOLEAN")
+    tests = (
+        lambda df, by: stats.mann_whitney(df, "v", F.col("g"), by), lambda df, by: stats.spearman(df, "v", "w", by),
+        lambda df, by: stats.pearson(df, "w", "v", by), lambda df, by: stats.welch_t(df, "w", F.col("g"), by),
+        lambda df, by: stats.one_way_anova(df, "w", "g", by),
+        lambda df, by: stats.chi_square(stats.contingency_cells(df.withColumn("c", F.col("w") % 4), "g", "c", by), by))
+    for test in tests:
+        together = {r.k: r for r in test(frame, ["k"]).collect()}
+        assert set(together) == {0, 1, 2}
+        for key in (1, 2):
+            alone = test(frame.filter(F.col("k") == key), []).first()
+            for column in ("statistic", "p_value"):
+                close(together[key][column], alone[column], 1e-8)
+
+
 def test_perfect_correlation_and_few_pairs(spark):
     frame = spark.createDataFrame([(float(n), float(2 * n)) for n in range(5)], "x DOUBLE, y DOUBLE")
     row = stats.pearson(frame, "x", "y").first()

@@ -134,6 +134,13 @@ def as_iso_text(df: DataFrame) -> DataFrame:
     return df.select(*[text(name, kind) for name, kind in df.dtypes])
 
 
+def transition_allowed(source: Column, target: Column) -> Column:
+    """Column form of ``schemas.layer_transition``: is ``target`` the layer right after ``source``?"""
+    order = F.array(*[F.lit(layer) for layer in schemas.LAYERS])
+    place_of_source, place_of_target = F.array_position(order, source), F.array_position(order, target)
+    return F.coalesce((place_of_source > 0) & (place_of_target - place_of_source == 1), F.lit(False))
+
+
 def gold_transform(silver: DataFrame) -> DataFrame:
     """Gold keeps the silver rows unchanged; its gate looks at them again."""
     return silver

@@ -2,7 +2,8 @@
 
 Spark reduces the data to sufficient statistics (counts, moments, rank sums);
 what is left is arithmetic on one row per group, and the tail probability of
-that row.  Every test takes ``by`` columns and returns one row per group.
+that row.  Tests over rows take ``by`` columns and return one row per group;
+tests over counts return one row per row of counts.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def one_way_anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
         F.count(_double(value)).alias("_n"), F.avg(_double(value)).alias("_m"),
         F.coalesce(F.var_samp(_double(value)), F.lit(0.0)).alias("_v"))
     # Deviations are taken from a mean that is known first, so nothing large cancels.
-    grand = per_group.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_grand"))
+    grand = per_group.groupBy(*by).agg(F.try_divide(F.sum(F.col("_n") * F.col("_m")), F.sum("_n")).alias("_grand"))
     joined = per_group.join(grand, list(by)) if by else per_group.withColumn("_grand", grand.scalar())
     overall = joined.groupBy(*by).agg(
         F.count("*").alias("_k"), F.sum("_n").alias("_total"), F.min("_n").alias("_least"),
@@ -162,13 +163,17 @@ def _correlation_p(out: DataFrame, tool: str, by: Sequence[str]) -> DataFrame:
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Linear correlation over complete pairs."""
     pairs = df.select(*by, _double(x).alias("_x"), _double(y).alias("_y")).dropna(subset=["_x", "_y"])
-    out = pairs.groupBy(*by).agg(F.corr("_x", "_y").alias("_r"), F.count("*").alias("n")).withColumn(
+    # Not F.corr, which raises on a constant column in ANSI mode; here the result is null.
+    r = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    out = pairs.groupBy(*by).agg(r.alias("_r"), F.count("*").alias("n")).withColumn(
         "statistic", F.when(F.col("n") >= MIN_PAIRS, F.col("_r")))
     return _correlation_p(out, "pearson_correlation", by)
 
 
-def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 1024) -> DataFrame:
-    """Add ``mean_rank`` to a table of distinct values and their row counts.
+def rank_positions(
+    counts: DataFrame, value: str, weight: str, by: Sequence[str] = (), buckets: int = 1024,
+) -> DataFrame:
+    """Add ``mean_rank`` (inside each ``by`` group) to a table of distinct values and their row counts.
 
     Ranks need a running total over all values.  The values are cut at
     approximate quantiles (at most ``buckets`` numbers reach the driver), summed
@@ -180,30 +185,30 @@ def rank_positions(counts: DataFrame, value: str, weight: str, buckets: int = 10
     inner = sorted({e for e in edges if isfinite(e)}) or [0.0]
     splits = [float("-inf"), *inner, float("inf")]
     placed = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(counts)
-    running = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inside = placed.withColumn("_before", F.coalesce(F.sum(weight).over(running), F.lit(0)))
-    totals = placed.groupBy("_bucket").agg(F.sum(weight).alias("_size"))
-    starts = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return inside.join(F.broadcast(starts), "_bucket").select(
+    totals = placed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_size"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*by, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    # Without groups there is one row per bucket; with groups Spark decides by size.
+    return inside.join(starts if by else F.broadcast(starts), [*by, "_bucket"]).select(
         *counts.columns,
         (_double("_start") + _double("_before") + (_double(weight) + 1) / 2).alias("mean_rank"))
 
 
-def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, in_first: Column, by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum test of two samples.
 
     Exact for small tie-free samples; otherwise normal with tie and continuity
     correction.  ``method`` says which.
     """
-    sample = df.select(_double(value).alias("_value"), in_first.alias("_first")).dropna()
-    counts = sample.groupBy("_value").agg(
+    sample = df.select(*by, _double(value).alias("_value"), in_first.alias("_first")).dropna(subset=["_value", "_first"])
+    counts = sample.groupBy(*by, "_value").agg(
         F.count_if("_first").alias("_a"), F.count_if(~F.col("_first")).alias("_b")
     ).withColumn("_w", F.col("_a") + F.col("_b"))
-    ranked = rank_positions(counts, "_value", "_w")
+    ranked = rank_positions(counts, "_value", "_w", by)
     w = _double("_w")
-    s = ranked.agg(
+    s = ranked.groupBy(*by).agg(
         F.sum(_double("_a") * F.col("mean_rank")).alias("_rank_sum"), F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"),
         F.sum(w * w * w - w).alias("_ties"))
     na, nb = _double("_na"), _double("_nb")
@@ -214,7 +219,7 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     exact = (F.least(na, nb) <= EXACT_RANK_LIMIT) & (F.col("_ties") == 0) & (na * nb <= EXACT_RANK_CELLS)
     enough = (na >= MIN_GROUP) & (nb >= MIN_GROUP)
     out = s.select(
-        F.when(enough, u).alias("statistic"), (F.col("_na") + F.col("_nb")).alias("n"),
+        *by, F.when(enough, u).alias("statistic"), (F.col("_na") + F.col("_nb")).alias("n"),
         F.when(exact, "exact").otherwise("normal").alias("method"), F.lit(RANK_NOTE).alias("note"),
         na.alias("_first_n"), nb.alias("_second_n"), F.when(enough, F.greatest(z, F.lit(0.0))).alias("_z"))
     is_exact = F.col("method") == "exact"
@@ -226,30 +231,34 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     ).drop("_first_n", "_second_n", "_z")
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation over complete pairs.
 
     Equal pairs are combined first; each side's ranks come from its distinct
     values; ranks are centred before they are multiplied.
     """
     pairs = materialize(
-        df.select(_double(x).alias("_x"), _double(y).alias("_y")).dropna()
-        .groupBy("_x", "_y").agg(F.count("*").alias("_w")), "pairs")
-    rank_x = rank_positions(pairs.groupBy("_x").agg(F.sum("_w").alias("_n")), "_x", "_n").select(
-        "_x", F.col("mean_rank").alias("_rx"))
-    rank_y = rank_positions(pairs.groupBy("_y").agg(F.sum("_w").alias("_n")), "_y", "_n").select(
-        "_y", F.col("mean_rank").alias("_ry"))
-    size = pairs.agg(F.sum("_w")).scalar()
-    ranked = pairs.join(rank_x, "_x").join(rank_y, "_y").select(
-        _double("_w").alias("_w"), (F.col("_rx") - (size + 1) / 2).alias("_dx"), (F.col("_ry") - (size + 1) / 2).alias("_dy"))
-    sums = ranked.agg(
+        df.select(*by, _double(x).alias("_x"), _double(y).alias("_y")).dropna(subset=["_x", "_y"])
+        .groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")), "pairs")
+
+    def ranked(side: str, out: str) -> DataFrame:
+        counts = pairs.groupBy(*by, side).agg(F.sum("_w").alias("_n"))
+        return rank_positions(counts, side, "_n", by).select(*by, side, F.col("mean_rank").alias(out))
+
+    sizes = pairs.groupBy(*by).agg(F.sum("_w").cast("double").alias("_size"))
+    joined = pairs.join(ranked("_x", "_rx"), [*by, "_x"]).join(ranked("_y", "_ry"), [*by, "_y"])
+    joined = joined.join(sizes, list(by)) if by else joined.withColumn("_size", sizes.scalar())
+    middle = (F.col("_size") + 1) / 2
+    centred = joined.select(
+        *by, _double("_w").alias("_w"), (F.col("_rx") - middle).alias("_dx"), (F.col("_ry") - middle).alias("_dy"))
+    sums = centred.groupBy(*by).agg(
         F.sum("_w").cast("bigint").alias("n"),
         F.sum(F.col("_w") * F.col("_dx") * F.col("_dy")).alias("_xy"),
         F.sum(F.col("_w") * F.col("_dx") * F.col("_dx")).alias("_xx"),
         F.sum(F.col("_w") * F.col("_dy") * F.col("_dy")).alias("_yy"))
     out = sums.withColumn(
         "statistic", F.when(F.col("n") >= MIN_PAIRS, F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))))
-    return _correlation_p(out, "spearman_correlation", ())
+    return _correlation_p(out, "spearman_correlation", by)
 
 
 def proportions_chi_square(groups: DataFrame, label: str, numerator: str = "numerator", denominator: str = "denominator") -> DataFrame:

@@ -14,6 +14,7 @@ from wardline.functions import identity as ident
 from wardline.functions import text as tx
 from wardline.functions.local import local_table, union_all
 from wardline.operators import compare, derive, layers, privacy, quality, registry, stats
+from wardline.operators.neighbours import id_block, neighbours
 from wardline.plans import catalogue as cat
 from wardline.plans import inputs, lake_run, metrics, questions, views
 from wardline.sources import lines, storage
@@ -68,7 +69,7 @@ def _text_drop(tables: ClinicalTables) -> tuple[str, str]:
 
 def _parsed_drop(tables: ClinicalTables) -> DataFrame:
     parts = [
-        lines.parse_lines(lines.read_lines(tables.spark, path)).withColumn("source", F.lit(path.rsplit("/", 1)[1]))
+        lines.read_documents(tables.spark, path).withColumn("source", F.lit(path.rsplit("/", 1)[1]))
         for path in _text_drop(tables)
     ]
     return parts[0].unionByName(parts[1])
@@ -108,6 +109,17 @@ def _(tables):
         tables.spark.sql(f"SELECT '{name}' AS relation, count(*) AS row_count FROM {name}") for name in names])
 
 
+@query("entity_schemas")
+def _(tables):
+    """Declared columns next to what the tables hold: does a required column stay free of nulls?"""
+    declared = local_table(
+        tables.spark, [(e, *field) for e, fields in schemas.ENTITY_FIELDS.items() for field in fields],
+        "entity STRING, column_name STRING, declared_type STRING, nullable BOOLEAN")
+    return declared.join(quality.missingness(tables), ["entity", "column_name"]).select(
+        "entity", "column_name", "declared_type", "nullable", "row_count",
+        (F.col("nullable") | (F.col("null_count") == 0)).alias("conforms"))
+
+
 @query("sink_jsonl_canonical")
 def _(tables):
     path = storage.workspace(tables.spark, "jsonl")
@@ -341,6 +353,19 @@ def _(tables):
     return tables.spark.read.schema(marts.schema).parquet(path)
 
 
+@query("layer_transition_check")
+def _(tables):
+    """Steps between the successive layers each user touches, allowed or not."""
+    visits = tables.star.events.select(
+        "user_id", "event_id", inputs.lake_layer(F.col("event_type")).alias("layer"),
+        F.to_date("ts").alias("_day"), id_block("event_id").alias("_block"))
+    steps = neighbours(visits, ["user_id"], ["_day", "_block"], ["_day", "_block", "event_id"], ["layer"])
+    return steps.filter(F.col("_next").isNotNull()).groupBy(
+        F.col("layer").alias("source_layer"), F.col("_next.layer").alias("target_layer")
+    ).agg(F.count("*").alias("steps")).withColumn(
+        "allowed", layers.transition_allowed(F.col("source_layer"), F.col("target_layer")))
+
+
 @query("layered_run")
 def _(tables):
     lake, paths = _lake(tables, list(tables))

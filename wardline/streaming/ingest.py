@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators.layers import first_per_key
 from wardline.sources.lines import parse_lines
-from wardline.sources.storage import materialize
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+from wardline.sources.storage import materialize, path_exists
 
 
 def ingest_lines(
@@ -48,7 +43,7 @@ def ingest_lines(
         rejected.write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
         rows = parsed.filter("is_object").select(F.from_json("line", schema).alias("row")).select("row.*")
         rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys]).withColumn("_day", F.to_date(day_column))
-        if batch_id and _exists(batch.sparkSession, target):
+        if batch_id and path_exists(batch.sparkSession, target):
             rows = materialize(rows, "micro-batch")
             rows = _unseen(rows, target, batch_id, keys, key_fixes_day)
         rows.write.mode("overwrite").partitionBy("_day").parquet(f"{target}/batch={batch_id}")
