@@ -52,6 +52,21 @@ def test_bucketed_facts_join_without_a_shuffle(spark, tables):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name", [
+    "silver_dedup", "record_hash", "audit_recent", "m_avg_cost", "q16_date_quality", "run_stage_summary", "silver_typing",
+    "stream_ingest_bronze"])
+def test_independent_of_the_session_zone(spark, name):
+    build = contract.queries()[name]
+    frame = build(spark, SF_DIR)
+    expected = rows_of(frame.columns, frame.collect())
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        again = build(spark, SF_DIR)
+        assert rows_of(again.columns, again.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("name", [
     "q06_comorbidity_cohort", "q13_latest_per_patient", "q17_outlier_cost", "derive_readmissions", "silver_quarantine",
     "dq_foreign_keys_full", "m_median_los", "stat_spearman", "snapshot_history", "content_checksum", "surrogate_key"])

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline import schemas
-from wardline.functions.identity import record_hash
+from wardline.functions.identity import iso_timestamp, record_hash
 from wardline.operators.quality import ISO_DATE, ISO_TIMESTAMP
 
 NULL_KEY = "null_key"
@@ -128,7 +128,7 @@ def as_iso_text(df: DataFrame) -> DataFrame:
         if kind == "date":
             return F.col(name).cast("string").alias(name)
         if kind.startswith("timestamp"):
-            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss").alias(name)
+            return iso_timestamp(F.col(name)).alias(name)
         return F.col(name)
 
     return df.select(*[text(name, kind) for name, kind in df.dtypes])

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.identity import iso_timestamp
+
 # Columns that count observations, the default smallest visible cell, the row bound.
 COUNT_COLUMNS = ("n", "count", "denominator", "eligible_encounters", "encounter_count")
 CELL_THRESHOLD = 10
@@ -107,7 +109,7 @@ def _normalized(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DateType):
         return column.cast("string")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+        return iso_timestamp(column)
     if isinstance(kind, T.ArrayType):
         return F.transform(column, lambda item: _normalized(item, kind.elementType))
     if isinstance(kind, T.StructType):

@@ -87,7 +87,7 @@ def _cells(tables: Tables, base: DataFrame, extra: list[str], aggregates: list[C
     hospitals = tables["hospitals"].select("hospital_id", "hospital_name", "urban_rural")
     cells = base.groupBy("hospital_id", F.trunc("admission_date", "quarter").alias("_quarter"), *extra).agg(*aggregates)
     return cells.join(hospitals, "hospital_id").select(
-        F.col("hospital_name").alias("hospital"), "urban_rural", F.date_format("_quarter", "yyyy-MM-dd").alias("quarter"),
+        F.col("hospital_name").alias("hospital"), "urban_rural", F.col("_quarter").cast("string").alias("quarter"),
         F.year("_quarter").cast("string").alias("year"), *extra,
         *[c for c in cells.columns if c not in {"hospital_id", "_quarter", *extra}])
 

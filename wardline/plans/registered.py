@@ -856,7 +856,7 @@ def _(tables):
     root = storage.workspace(tables.spark, "stream")
     drops = tables.star.events.select(
         F.to_json(F.struct("event_id", "user_id", "event_type", "value",
-                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))).alias("value"),
+                           ident.iso_timestamp(F.col("ts")).alias("ts"))).alias("value"),
         F.to_date("ts").alias("day"))
     drops.repartitionByRange(4, "day").select("value").write.text(f"{root}/drop")
     drops.filter(F.get_json_object("value", "$.event_type") == "click").select("value").coalesce(1).write.mode("append").text(
