@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import common, simhash
+from wardline.llm import common, harmonic, language, mixing, simhash, span_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,31 @@ def query(name: str):
 @query("op1_simhash_near_dedup")
 def _(spark, sf_dir):
     return simhash.simhash_groups(common.documents(spark, sf_dir))
+
+
+@query("op5_exact_top_k")
+def _(spark, sf_dir):
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_exact_top_k"] = topk.oracle()
+
+
+@query("op6_language_id")
+def _(spark, sf_dir):
+    return language.identify(common.documents(spark, sf_dir))
+
+
+@query("op7_source_mixing")
+def _(spark, sf_dir):
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
+@query("op10_harmonic_packing")
+def _(spark, sf_dir):
+    return harmonic.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_suffix_array_dedup")
+def _(spark, sf_dir):
+    return span_dedup.repeated_passages(common.documents(spark, sf_dir))
