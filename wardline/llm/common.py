@@ -18,12 +18,16 @@ __all__ = [
     "workspace",
 ]
 
+TEXTS_IN_BATCH = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts to work on; batches between Spark and Python hold a few MB of them instead of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_IN_BATCH))
     return table(spark, sf_dir, "documents")
 
 

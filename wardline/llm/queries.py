@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import common, harmonic, language, mixing, simhash, span_dedup, topk
+from wardline.llm import common, cross_entropy, harmonic, language, line_crf, mixing, nn_descent, rans, simhash, span_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,31 @@ def _(spark, sf_dir):
 @query("op3_suffix_array_dedup")
 def _(spark, sf_dir):
     return span_dedup.repeated_passages(common.documents(spark, sf_dir))
+
+
+@query("op2_line_quality")
+def _(spark, sf_dir):
+    return line_crf.score_documents(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+@query("op4_embedding_near_dedup")
+def _(spark, sf_dir):
+    return nn_descent.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_embedding_near_dedup"] = nn_descent.oracle()
+
+
+@query("op8_token_files")
+def _(spark, sf_dir):
+    """Files below the shared folder, read back; they stay there for the folder's lifetime rule."""
+    path = common.workspace(spark, "tokens")
+    rans.write_tokens(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return rans.read_documents(spark, path)
+
+
+@query("op9_cross_entropy_difference")
+def _(spark, sf_dir):
+    """Wanted: documents labelled of good quality and not toxic."""
+    wanted = common.table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return cross_entropy.cross_entropy_difference(common.documents(spark, sf_dir), wanted)

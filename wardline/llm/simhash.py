@@ -55,12 +55,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long.  Rows without an id are left out."""
     def step(batches: Batches) -> Batches:
         for part in batches:
             texts = part.column(1).cast(pa.binary()).to_pylist()
-            prints = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
+            prints = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
             yield emit(_PRINTS, doc_id=part.column(0), fp=prints.view(np.int64))
 
     chosen = docs.select(long_id(id_column, "doc_id"), F.col(f"`{text_column}`").alias("text")).where("doc_id IS NOT NULL")
@@ -156,14 +156,16 @@ def near_fingerprints(distinct: DataFrame, most: int = MOST, per_bucket: int = 2
     return spread.repartition(max(width, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(most), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MOST) -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MOST, shingle: int = SHINGLE,
+) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links).
 
     Null and empty texts have fingerprint zero and link like any other; rows
     without an id are left out; a repeated id gives a row for each of its rows;
     an empty table gives no row.
     """
-    prints = materialize(fingerprints(docs, id_column, text_column), "simhash")
+    prints = materialize(fingerprints(docs, id_column, text_column, shingle), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_fingerprints(classes, most))
     # the group's number is a fingerprint: its smallest document names the component
@@ -176,8 +178,10 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group (of repeated ids, every row)."""
-    groups = simhash_groups(docs, id_column, text_column, most)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_column].cast("long") == kept["_kept_id"], "left_semi")
+def keep_first(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MOST, shingle: int = SHINGLE,
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group (of repeated ids, every row), and those without an id."""
+    groups = simhash_groups(docs, id_column, text_column, most, shingle)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs[id_column].cast("long") == copies["_copy"], "left_anti")
