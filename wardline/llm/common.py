@@ -14,7 +14,7 @@ from wardline.sources.storage import materialize, workspace
 
 __all__ = [
     "Batches", "PolynomialHash", "bucket_count", "column_bytes", "components", "documents", "emit", "long_id",
-    "materialize", "mix64", "partition_count", "rows_of_batches", "sorted_runs", "star_edges", "table", "take_columns",
+    "materialize", "mix64", "partition_count", "rows_of_batches", "small_batches", "sorted_runs", "star_edges", "table", "take_columns",
     "workspace",
 ]
 
@@ -25,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts to work on; batches between Spark and Python hold a few MB of them instead of 10,000 rows."""
+def small_batches(spark: SparkSession) -> None:
+    """Let batches between Spark and Python hold a few MB of texts instead of 10,000 rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_IN_BATCH))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 

@@ -1,10 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, word by word with a cache.
-
-The vocabulary files in use never form a token across the place where ASCII
-white space follows anything but white space.  So a text is cut there, each
-distinct piece of a batch is encoded once, and the pieces' ids are strung
-together; that equals encoding the whole text (``tests/llm`` holds this
-against the library).
+"""Token ids of whole texts by the tokenizers library, piece by piece with a cache.
+
+The vocabulary files in use never form a token across two kinds of places:
+where ASCII white space follows anything but white space, and where ASCII
+punctuation follows an ASCII letter.  So a text is cut there, each distinct
+piece of a batch is encoded once, and the pieces' ids are strung together;
+that equals encoding the whole text (``tests/llm`` holds this against the
+library).
 """
 
 from __future__ import annotations
@@ -21,7 +22,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
-CACHED_PIECES = 400_000  # held by each Python worker; the oldest half goes when there are more
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK &= ~_LETTER
+_MARK[48:58] = False
+
+CACHED_PIECES = 600_000  # held by each Python worker; the oldest half goes when there are more
+JOINED = 64  # single words that go to the library in one text
 
 
 @lru_cache(maxsize=4)
@@ -43,6 +52,43 @@ class PieceEncoder:
             raise ValueError("ids of more than 16 bits")
         self.hash = PolynomialHash()
         self.known: dict[int, bytes] = {}
+        # where one word ends among the ids of many: by the words' bytes, or by the tokens that end a word
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_words = sum(t.endswith("</w>") for t in vocabulary) > len(vocabulary) // 4
+        self.measure = np.zeros(1 << 16, np.int64)
+        for token, n in vocabulary.items():
+            self.measure[n] = token.endswith("</w>") if self.ends_words else len(token)
+
+    def _one_word(self, piece: str) -> bool:
+        """Whether a piece stays one word beside others: letters alone, after one blank where blanks belong to tokens."""
+        if self.ends_words:
+            word = piece.lstrip(" \n")
+            return word.isalpha() and word.lower().isalpha()
+        return piece[0] == " " and piece[1:].isalpha()
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, packed."""
+        out: list[bytes] = [b""] * len(pieces)
+        words = [n for n, p in enumerate(pieces) if self._one_word(p)]
+        single = set(words)
+        others = [n for n in range(len(pieces)) if n not in single]
+        for n, found in zip(others, self.tokenizer.encode_batch_fast([pieces[n] for n in others], add_special_tokens=False), strict=True):
+            out[n] = np.array(found.ids, np.uint16).tobytes()
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        glue = " " if self.ends_words else ""
+        joined = [glue.join([pieces[n] for n in group]) for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint16)
+            passed = np.cumsum(self.measure[ids])
+            goal = np.arange(1, len(group) + 1) if self.ends_words else np.cumsum([len(pieces[n].encode()) for n in group])
+            ends = np.searchsorted(passed, goal) + 1
+            if ends[-1] != len(ids) or (passed[ends - 1] != goal).any():
+                raise AssertionError("words were not kept apart")
+            raw, first = ids.tobytes(), 0
+            for n, end in zip(group, (2 * ends).tolist(), strict=True):
+                out[n] = raw[first:end]
+                first = end
+        return out
 
     def encode(self, texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end as uint16, number of ids of each); a null text has none."""
@@ -58,6 +104,7 @@ class PieceEncoder:
             cut[1:] &= data[:-1] < 128
             for odd in (0x1C, 0x1D, 0x1E, 0x1F):
                 cut[1:] &= data[:-1] != odd
+        cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
         cut[at[:-1][lengths > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
@@ -70,8 +117,8 @@ class PieceEncoder:
         if missing:
             places = first[missing]
             pieces = [raw[a:b].decode("utf-8") for a, b in zip(start[places].tolist(), end[places].tolist(), strict=True)]
-            for n, found in zip(missing, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-                ids[n] = known[keys[n]] = np.array(found.ids, np.uint16).tobytes()
+            for n, found in zip(missing, self._fresh(pieces), strict=True):
+                ids[n] = known[keys[n]] = found
             if len(known) > CACHED_PIECES:
                 self.known = dict(list(known.items())[len(known) // 2 :])
         flat = np.frombuffer(b"".join(ids), np.uint16)
