@@ -25,14 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.llm.common import (
-    Batches, PolynomialHash, column_bytes, emit, long_id, materialize, mix64, partition_count, rows_of_batches, sorted_runs,
+    Batches, PolynomialHash, column_bytes, emit, materialize, mix64, partition_count, rows_of_batches, sorted_runs,
+    take_columns,
 )
 from wardline.llm.suffix_groups import suffix_arrays
 
 LENGTH = 100
 ANCHOR = 32
-BATCH = 4 << 20  # bytes of text in arrays at a time
-SORTED_AT_ONCE = 1 << 20  # symbols of many groups in one call
+BATCH = 1 << 19  # bytes of text in arrays at a time
+SORTED_AT_ONCE = 1 << 19  # symbols of many groups in one call
 CROWDED = 4096  # distinct pieces of an anchor from which its strings are grouped one by one
 
 _REPEATS = 1 << 16  # rows of one id
@@ -261,61 +262,121 @@ def _fetch(buckets: int, length: int):
     return step
 
 
+def _padded(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, sign: int) -> np.ndarray:
+    """A row for each stretch of ``sizes`` bytes from ``begin`` forwards or backwards, filled up with a byte UTF-8 lacks."""
+    rows = np.full((len(sizes), int(sizes.max(initial=0))), 0xFF, np.uint8)
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows[np.repeat(np.arange(len(sizes)), sizes), step] = data[np.repeat(begin, sizes) + sign * step]
+    return rows
+
+
+def _shared_by_all(rows: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The longest prefix that all rows of each group share."""
+    differ = rows != rows[np.repeat(bounds, counts)]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]) if rows.shape[1] else np.zeros(len(rows), np.int64)
+    return np.minimum.reduceat(np.minimum(same, sizes), bounds)
+
+
 def repeats_in_groups(
-    key: np.ndarray, doc: np.ndarray, start: np.ndarray, data: np.ndarray, at: np.ndarray, length: int,
+    key: np.ndarray, doc: np.ndarray, start: np.ndarray, left: np.ndarray, data: np.ndarray, at: np.ndarray, length: int,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the strings in pieces data[at[i]:at[i + 1]] that an earlier piece of the same key holds too."""
-    size = np.diff(at)
+    """(doc, start) of the strings in pieces data[at[i]:at[i + 1]] that an earlier piece of the same key holds too.
+
+    A piece holds its anchor ``left`` bytes from its start.  The bytes around
+    the anchor that lie in every string of a group, and agree in all of its
+    pieces, enter the group's suffix array as one symbol.
+    """
     order = np.argsort(key, kind="stable")
-    bounds = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    weight = np.add.reduceat(size[order] + 1, bounds)
-    counts = np.diff(np.append(bounds, len(order)))
+    key, doc, start, left = key[order], doc[order], start[order].astype(np.int64), left[order].astype(np.int64)
+    size, begin = np.diff(at)[order], at[:-1][order]
+    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    counts = np.diff(np.append(bounds, len(key)))
+    right = size - left - ANCHOR
+    of_all = _shared_by_all(_padded(data, begin + left - 1, left, -1), left, bounds, counts)
+    core_left = np.minimum(of_all, np.minimum.reduceat(left - (size - length), bounds))
+    of_all = _shared_by_all(_padded(data, begin + left + ANCHOR, right, 1), right, bounds, counts)
+    core_right = np.minimum(of_all, np.minimum.reduceat(length - left - ANCHOR, bounds))
+    core = core_left + ANCHOR + core_right
+    left_part, right_part = left - np.repeat(core_left, counts), right - np.repeat(core_right, counts)
+    room = left_part + 1 + right_part + 1  # piece, core, piece, end of piece
+    weight = np.add.reduceat(room, bounds) + 1
     by_weight = np.argsort(weight, kind="stable")  # groups of like size take as many steps
+    upto = np.cumsum(weight[by_weight])
     docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     cut = 0
     while cut < len(by_weight):
-        upto = max(cut + 1, int(np.searchsorted(np.cumsum(weight[by_weight[cut:]]), SORTED_AT_ONCE)) + cut)
-        groups = by_weight[cut:upto]
-        cut = upto
+        stop = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + SORTED_AT_ONCE, side="right")))
+        groups = by_weight[cut:stop]
+        cut = stop
         n = counts[groups]
-        pieces = order[np.repeat(bounds[groups] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        # piece, 1, piece, 1, ..., 0: a text for each group
-        long = size[pieces]
+        pieces = np.repeat(bounds[groups] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         last = np.cumsum(n) - 1
-        room = long + 1
-        room[last] += 1
-        ends = np.cumsum(room)
-        begins = ends - room
+        wide = room[pieces]
+        wide[last] += 1
+        ends = np.cumsum(wide)
+        begins = ends - wide
         symbols = np.ones(int(ends[-1]), np.int64)
         symbols[ends[last] - 1] = 0
-        inside = np.repeat(begins - np.cumsum(long) + long, long) + np.arange(int(long.sum()))
-        source = np.repeat(at[:-1][pieces] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))
-        symbols[inside] = data[source].astype(np.int64) + 2
+        lp, rp = left_part[pieces], right_part[pieces]
+        symbols[begins + lp] = 2
+        for sizes, target, source in (
+            (lp, begins, begin[pieces]), (rp, begins + lp + 1, begin[pieces] + size[pieces] - rp)):
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            symbols[np.repeat(target, sizes) + step] = data[np.repeat(source, sizes) + step].astype(np.int64) + 3
         sorted_all = suffix_arrays(symbols, np.concatenate(([0], ends[last])))
-        strings = np.zeros(len(symbols), np.int64) - 1  # the piece whose string starts here
-        count = long - length + 1
-        heads = np.repeat(begins - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        strings[heads] = np.repeat(np.arange(len(pieces)), count)
-        ranked = sorted_all[strings[sorted_all] >= 0]
-        piece = strings[ranked]
+        piece_at = np.full(len(symbols), -1, np.int64)  # the piece whose string starts here
+        strings = size[pieces] - length + 1
+        heads = np.repeat(begins - np.cumsum(strings) + strings, strings) + np.arange(int(strings.sum()))
+        piece_at[heads] = np.repeat(np.arange(len(pieces)), strings)
+        ranked = sorted_all[piece_at[sorted_all] >= 0]
+        piece = piece_at[ranked]
         group = np.repeat(np.arange(len(groups)), n)[piece]
-        flat = symbols.astype(np.uint16) if symbols.max() > 255 else symbols.astype(np.uint8)
-        windows = np.lib.stride_tricks.sliding_window_view(flat, length)
+        need = (length - core[groups] + 1)[group]  # symbols of a string
+        widest = int(need.max())
+        flat = np.append(symbols, np.zeros(widest, np.int64)).astype(np.uint16)
+        windows = np.lib.stride_tricks.sliding_window_view(flat, widest)
         same = np.zeros(len(ranked), bool)
         for a in range(1, len(ranked), 1 << 15):
             b = min(len(ranked), a + (1 << 15))
-            same[a:b] = (windows[ranked[a:b]] == windows[ranked[a - 1 : b - 1]]).all(axis=1) & (group[a:b] == group[a - 1 : b - 1])
+            differ = windows[ranked[a:b]] != windows[ranked[a - 1 : b - 1]]
+            agree = np.where(differ.any(axis=1), differ.argmax(axis=1), widest)
+            same[a:b] = (agree >= need[a:b]) & (group[a:b] == group[a - 1 : b - 1])
         kind = np.cumsum(~same)
         lone = ~same & np.append(~same[1:], True)
         kind, ranked, piece = kind[~lone], ranked[~lone], piece[~lone]
         d = doc[pieces][piece]
-        s = start[pieces][piece].astype(np.int64) + ranked - begins[piece]
+        s = start[pieces][piece] + ranked - begins[piece]
         first = first_of_equal((kind,), d, s)
         docs.append(d[~first])
         starts.append(s[~first])
     return np.concatenate(docs), np.concatenate(starts)
 
 
+def _longest_shared(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The longest prefix that each padded row shares with another row of its group, within its own size."""
+    n = len(rows)
+    keyed = np.concatenate((group.astype(">u4").view(np.uint8).reshape(n, 4), rows), axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), kind="stable")
+    rows, group = rows[order], group[order]
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]) if rows.shape[1] else np.zeros(max(n - 1, 0), np.int64)
+    shared[group[1:] != group[:-1]] = 0
+    most = np.zeros(n, np.int64)
+    most[order] = np.maximum(np.append(0, shared), np.append(shared, 0))
+    return np.minimum(most, sizes)
+
+
+def trimmed(key: np.ndarray, left: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes to cut before, bytes to keep) of each piece: what lies as far from the anchor as any other piece of the key agrees."""
+    size = np.diff(at)
+    right = size - left - ANCHOR
+    group = np.unique(key, return_inverse=True)[1]
+
+    before = _longest_shared(group, _padded(data, at[:-1] + left - 1, left, -1), left)
+    after = _longest_shared(group, _padded(data, at[:-1] + left + ANCHOR, right, 1), right)
+    return left - before, before + ANCHOR + after
+
+
 def _sort_groups(buckets: int, doc_buckets: int, length: int):
     def step(batches: Batches) -> Batches:
         hashes = PolynomialHash()
@@ -329,20 +390,25 @@ def _sort_groups(buckets: int, doc_buckets: int, length: int):
                     yield from _packed(_REPEAT, again, _bucket(again["doc"], doc_buckets))
                     continue
                 data, at = column_bytes(part["piece"])
+                # what no other piece of the key agrees with is cut off; pieces too short for a string then go
+                skip, keep = trimmed(key, left.astype(np.int64), data, at)
+                long = np.flatnonzero(keep >= length)
+                begin, size = (at[:-1] + skip)[long], keep[long]
+                key, doc, start, left = key[long], doc[long], start[long] + skip[long], (left - skip)[long]
                 # earliest of equal pieces (the anchor's place is part of them) stand for the others
-                whole = hashes.spans(hashes.prefix(data), at[:-1], at[1:]) ^ mix64(left.astype(np.uint64) + np.uint64(1))
+                whole = hashes.spans(hashes.prefix(data), begin, begin + size) ^ mix64(left.astype(np.uint64) + np.uint64(1))
                 first = first_of_equal((key, whole), doc, start)
-                again = _spans(doc[~first], start[~first], np.diff(at)[~first])
+                again = _spans(doc[~first], start[~first], size[~first])
                 yield from _packed(_REPEAT, again, _bucket(again["doc"], doc_buckets))
                 kept = np.flatnonzero(first)
                 _, of, count = np.unique(key[kept], return_inverse=True, return_counts=True)
                 kept = kept[count[of] > 1]
                 if not len(kept):
                     continue
-                size = np.diff(at)[kept]
-                flat = data[np.repeat(at[:-1][kept] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+                size, begin = size[kept], begin[kept]
+                flat = data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
                 docs, starts = repeats_in_groups(
-                    key[kept], doc[kept], start[kept], flat, np.concatenate(([0], np.cumsum(size))), length)
+                    key[kept], doc[kept], start[kept], left[kept], flat, np.concatenate(([0], np.cumsum(size))), length)
                 spans = _spans(docs, starts, np.full(len(docs), length))
                 yield from _packed(_REPEAT, spans, _bucket(spans["doc"], doc_buckets))
 
@@ -366,36 +432,32 @@ def _mark(batches: Batches) -> Batches:
             removed=[pairs[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
 
 
-def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
-    """(doc_id, text) with one row per number, and whether ids repeat.
+def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` with a column ``_number`` that no two rows share, in the order of ids; rows without an id are left out.
 
-    Where ids repeat, rows of one id are told apart by the order of their
-    texts' hashes: the number is then id * 65,536 + place.
+    It is the id, or where ids repeat id * 65,536 + place, the rows of one id
+    being placed by their texts' hashes.
     """
-    rows = docs.select(long_id(id_column, "doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    size = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    rows = docs.where(F.col(f"`{id_column}`").isNotNull()).withColumn("_number", F.col(f"`{id_column}`").cast("long"))
+    size = rows.groupBy("_number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (size or 0) <= 1:
-        return rows, False
+        return rows
     if size > _REPEATS:
         raise ValueError("more than 65,536 rows share an id")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")) - 1
-    return rows.select((F.col("doc_id") * _REPEATS + place).alias("doc_id"), "text"), True
+    text = F.col(f"`{text_column}`")
+    place = F.row_number().over(W.partitionBy("_number").orderBy(F.xxhash64(text), text)) - 1
+    return materialize(rows.withColumn("_place", place).withColumn("_number", F.col("_number") * _REPEATS + F.col("_place")).drop("_place"), "texts")
 
 
-def marked_spans(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, crowded: int = CROWDED,
-) -> DataFrame:
-    """(doc_id, text as bytes, removed): every row of ``docs`` with an id, and the byte spans that repeat earlier strings.
+def marked_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, text as bytes, removed) of rows (doc_id, text) with unique ids: the byte spans that repeat earlier strings.
 
     ``removed`` holds ascending disjoint (start, end) pairs of 32-bit integers.
     """
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
-    rows, repeated = numbered(docs, id_column, text_column)
-    if repeated:
-        rows = materialize(rows, "texts")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = partition_count(docs)
+    width = partition_count(rows)
     buckets, doc_buckets = max(width, -(-total // (16 << 20))), max(4 * width, -(-total // (4 << 20)))
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -411,8 +473,7 @@ def marked_spans(
     wanted = with_texts(compared.where(F.col("kind") == _WANTED)).mapInArrow(_fetch(buckets, length), _BYTES_DDL)
     found = dealt(wanted).mapInArrow(_sort_groups(buckets, doc_buckets, length), _PACKED_DDL)
     marks = compared.where(F.col("kind") == _REPEAT).unionByName(found)
-    out = with_texts(marks).mapInArrow(_mark, _MARKED_DDL)
-    return out.withColumn("doc_id", F.expr(f"doc_id div {_REPEATS}")) if repeated else out
+    return with_texts(marks).mapInArrow(_mark, _MARKED_DDL)
 
 
 _TEXTS = pa.schema([*_PACKED, ("doc_id", pa.int64())])
@@ -452,7 +513,13 @@ def _report(batches: Batches) -> Batches:
         yield emit(_REPORT, **dict(zip(_REPORT.names, map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True)))
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
+def _plain(rows: DataFrame, text_column: str) -> DataFrame:
+    return rows.select(F.col("_number").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+
+
+def repeated_passages(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, crowded: int = CROWDED,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of ``docs`` with an id.
 
     A byte goes if a string of ``length`` bytes that covers it starts earlier as
@@ -460,8 +527,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     empty; rows of one id are documents of their own, ordered by their texts'
     hashes; an empty table gives no row.
     """
-    return marked_spans(docs, id_column, text_column, length).mapInArrow(
+    rows = numbered(take_columns(docs, doc_id=id_column, text=text_column), "doc_id", "text")
+    report = marked_spans(_plain(rows, "text"), length, crowded).mapInArrow(
         _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return report.join(rows.select("_number", F.col("doc_id").cast("long").alias("_id")), F.col("doc_id") == F.col("_number")).select(
+        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -484,6 +554,16 @@ def _whole_characters(batches: Batches) -> Batches:
         yield emit(_CLEAN, doc_id=batch.column(0), text=texts)
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, text): texts without their repeated bytes; characters of which a byte stays, stay whole."""
-    return marked_spans(docs, id_column, text_column, length).mapInArrow(_whole_characters, "doc_id long, text string")
+def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
+    """All rows of ``docs`` and their columns; texts lose their repeated bytes, but characters of which a byte stays, stay whole.
+
+    Null texts stay null, and rows without an id stay as they are.
+    """
+    rows = numbered(docs, id_column, text_column)
+    texts = marked_spans(_plain(rows, text_column), length).mapInArrow(_whole_characters, "doc_id long, text string").select(
+        F.col("doc_id").alias("_of"), F.col("text").alias("_kept"))
+    others = rows.withColumn("_null", F.col(f"`{text_column}`").isNull()).drop(text_column)
+    joined = others.join(texts, F.col("_number") == F.col("_of"))
+    text = F.when(F.col("_null"), None).otherwise(F.col("_kept")).alias(text_column)
+    return joined.select(*[text if c == text_column else F.col(f"`{c}`") for c in docs.columns]).unionByName(
+        docs.where(F.col(f"`{id_column}`").isNull()))
