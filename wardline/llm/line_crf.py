@@ -24,7 +24,7 @@ from wardline.llm.common import Batches, PolynomialHash, column_bytes, emit, lon
 from wardline.llm.language import fold
 
 PER_CLASS = 1500  # sampled training documents of each label
-ROUNDS, STEPS, RATE, RIDGE = 3, 80, 0.15, 1e-3
+ROUNDS, STEPS, RATE, RIDGE = 2, 60, 0.2, 1e-3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
