@@ -28,7 +28,7 @@ END = 2
 LANES = 64
 STEPS = 1024  # of a full block
 CHECKPOINT = 256
-SEGMENT = 4_000_000  # ids after which a segment ends with its document
+SEGMENT = 2_000_000  # ids after which a segment ends with its document
 PRECISION = 20
 BYTES_IN_PART = 16 << 20
 
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_column: str = "
     def step(batches: Batches) -> Iterator[pa.RecordBatch]:
         tokens, shard, segment = encoder(vocabulary), TaskContext.get().partitionId(), 0
         docs_held, sizes_held, ids_held, held = [], [], [], 0
-        for part in rows_of_batches(batches, size=4 << 20):
+        for part in rows_of_batches(batches, size=1 << 20):
             ids, sizes = tokens.encode(part["text"])
             ids = np.insert(ids, np.cumsum(sizes), END)
             docs_held.append(np.asarray(part["doc_id"].combine_chunks()))

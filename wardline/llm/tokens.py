@@ -29,7 +29,7 @@ _MARK[33:127] = True
 _MARK &= ~_LETTER
 _MARK[48:58] = False
 
-CACHED_PIECES = 600_000  # held by each Python worker; the oldest half goes when there are more
+CACHED_PIECES = 300_000  # held by each Python worker; the oldest half goes when there are more
 JOINED = 64  # single words that go to the library in one text
 
 
