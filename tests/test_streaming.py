@@ -18,25 +18,34 @@ def event(n, day):
     return {"event_id": n, "value": float(n), "ts": f"2024-01-{day:02d} 10:00:00"}
 
 
-def run(spark, root, key_fixes_day):
+def run(spark, root, key_parts):
     ingest_lines(
-        spark, f"{root}/drop", f"{root}/bronze", f"{root}/checkpoint", SCHEMA, ["event_id"], "ts", 1, key_fixes_day)
+        spark, f"{root}/drop", f"{root}/bronze", f"{root}/checkpoint", SCHEMA, ["event_id"], "ts", 1, key_parts)
     return spark.read.schema("event_id BIGINT").parquet(f"{root}/bronze")
 
 
-@pytest.mark.parametrize("key_fixes_day", [False, True])
-def test_new_files_once_and_no_repeats(spark, key_fixes_day):
+@pytest.mark.parametrize("key_parts", [1, 256])
+def test_new_files_once_and_no_repeats(spark, key_parts):
     root = workspace(spark, "stream-test")
     drop(spark, f"{root}/drop", [event(1, 5), event(2, 5), event(2, 5), "not json"])
-    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2]
+    assert sorted(r.event_id for r in run(spark, root, key_parts).collect()) == [1, 2]
     # A later drop repeats a key and brings a row that is a month late; the late row is kept.
     drop(spark, f"{root}/drop", [event(2, 5), event(3, 20)])
     drop(spark, f"{root}/drop", [event(4, 1), event(3, 20)])
-    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2, 3, 4]
-    assert sorted(r.event_id for r in run(spark, root, key_fixes_day).collect()) == [1, 2, 3, 4]
+    assert sorted(r.event_id for r in run(spark, root, key_parts).collect()) == [1, 2, 3, 4]
+    assert sorted(r.event_id for r in run(spark, root, key_parts).collect()) == [1, 2, 3, 4]
     assert [r.value for r in spark.read.text(f"{root}/bronze_rejected").collect()] == ["not json"]
 
 
+def test_lines_without_a_whole_key_are_kept_apart(spark):
+    root = workspace(spark, "stream-test")
+    bad = [{"value": 1.0}, {"event_id": "x1", "value": 2.0}, {"event_id": None}, {"event_id": 2.5}]
+    drop(spark, f"{root}/drop", [event(1, 5), *bad])
+    assert [r.event_id for r in run(spark, root, 8).collect()] == [1]
+    rejected = [json.loads(r.value) for r in spark.read.text(f"{root}/bronze_rejected").collect()]
+    assert sorted(map(str, rejected)) == sorted(map(str, bad))
+
+
 def test_bounded_state_variant(spark):
     root = workspace(spark, "stream-test")
     drop(spark, f"{root}/drop", [event(1, 5), event(1, 5), event(2, 5)])

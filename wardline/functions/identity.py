@@ -17,8 +17,9 @@ def canonical_json(columns: Sequence[str]) -> Column:
 
 
 def iso_timestamp(column: Column) -> Column:
-    """ISO text to the second, by the value's own text form, so that no session zone takes part."""
-    return F.translate(F.substring(column.cast("string"), 1, 19), " ", "T")
+    """ISO text by the value's own text form, so that no session zone takes part; a fraction has six digits, as Python writes it."""
+    text = column.cast("string")
+    return F.translate(F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text), " ", "T")
 
 
 def record_hash(columns: Sequence[str]) -> Column:

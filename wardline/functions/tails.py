@@ -7,6 +7,8 @@ vectorised functions on the already reduced result.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 20000):
+    for m in range(1, 1_000_000):
         for numerator in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -30,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError("the incomplete beta function did not converge")
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -61,7 +63,7 @@ def gamma_tail(s: float, x: float) -> float:
     b = x + 1.0 - s
     c, d = 1.0 / tiny, 1.0 / b
     value = d
-    for i in range(1, 100000):
+    for i in range(1, 1_000_000):
         an = -i * (i - s)
         b += 2.0
         d = an * d + b
@@ -70,8 +72,8 @@ def gamma_tail(s: float, x: float) -> float:
         c = c if abs(c) > tiny else tiny
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * value
+            return front * value
+    raise ArithmeticError("the incomplete gamma function did not converge")
 
 
 def student_two_sided(t: float, df: float) -> float:
@@ -133,22 +135,50 @@ def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
     return min(1.0, outward(left, -1) + outward(right, 1))
 
 
+_PERIOD = 840  # least common multiple of the part sizes 1 to 8
+
+
+@lru_cache(maxsize=16)
+def _cumulated_parts(small: int) -> tuple[int, ...]:
+    """Coefficients of ((1 - q**840) / (1 - q)) * product of (1 - q**840) / (1 - q**i), i up to ``small``."""
+    row = [1]
+    for part in (1, *range(1, small + 1)):
+        row += [0] * _PERIOD
+        for k in range(len(row) - 1, _PERIOD - 1, -1):
+            row[k] -= row[k - _PERIOD]
+        for k in range(part, len(row)):
+            row[k] += row[k - part]
+        while len(row) > 1 and not row[-1]:
+            row.pop()
+    return tuple(row)
+
+
+def _sums_up_to(limit: int, small: int) -> int:
+    """Ways to choose at most ``small`` unordered positive parts with a sum within ``limit``."""
+    row = _cumulated_parts(small)
+    return sum(row[k] * math.comb((limit - k) // _PERIOD + small, small) for k in range(limit % _PERIOD, min(limit + 1, len(row)), _PERIOD))
+
+
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of a tie-free U statistic, by counting arrangements."""
+    """Two-sided exact p of a tie-free U statistic, for at most 8 values in one sample and any number in the other.
+
+    Arrangements with a U within a limit are partitions that fit in a box of
+    small x large.  Those that fit follow from those of any size by
+    inclusion and exclusion over the ``small`` factors 1 - q**(large + i), so the
+    cost depends on the small sample alone and the counts are whole numbers.
+    """
     small, large = sorted((int(n1), int(n2)))
-    counts = [[0] * (small * large + 1) for _ in range(small + 1)]
-    counts[0][0] = 1
-    for rank in range(1, small + large + 1):
-        for taken in range(min(rank, small), 0, -1):
-            gain = rank - taken
-            if gain > large:
-                continue
-            row, before = counts[taken], counts[taken - 1]
-            for total in range(small * large, gain - 1, -1):
-                row[total] += before[total - gain]
-    ways = counts[small]
-    top = int(max(u, small * large - u))
-    return min(1.0, 2.0 * sum(ways[top:]) / sum(ways))
+    if small > 8:
+        raise ValueError("exact counts need at most 8 values in one sample")
+    low = int(min(u, small * large - u))
+    shifts = {0: 1}
+    for i in range(1, small + 1):
+        for shift, sign in list(shifts.items()):
+            moved = shift + large + i
+            if moved <= low:
+                shifts[moved] = shifts.get(moved, 0) - sign
+    ways = sum(sign * _sums_up_to(low - shift, small) for shift, sign in shifts.items() if sign)
+    return min(1.0, float(Fraction(2 * ways, math.comb(small + large, small))))
 
 
 def _column_function(helper, arity: int):

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.neighbours import HOT_ROWS, id_block, neighbours
+from wardline.operators.neighbours import id_block, neighbours
 
 READMISSION_MEASURE = "30-day readmission rate"
 
 
-def derive_readmissions(encounters: DataFrame, window_days: int = 30, hot_rows: int = HOT_ROWS) -> DataFrame:
+def derive_readmissions(encounters: DataFrame, window_days: int = 30) -> DataFrame:
     """One assessment per inpatient stay: was the patient's next stay within ``window_days``?
 
-    The next stay is the following row of the patient by (admission, id).  A
-    patient with more than ``hot_rows`` stays is cut by admission day and id block.
+    The next stay is the following row of the patient by (admission, id), stays
+    without an admission day first.  Patients are cut by admission day and id
+    block, so none has to fit in one task.
     """
     stays = encounters.select("encounter_id", "patient_id", "encounter_type", "admission_date", "discharge_date")
     stays = stays.withColumn("_block", id_block("encounter_id"))
@@ -24,7 +25,6 @@ def derive_readmissions(encounters: DataFrame, window_days: int = 30, hot_rows:
         buckets=["admission_date", "_block"],
         order=["admission_date", "encounter_id"],
         payload=["encounter_id", "admission_date"],
-        hot_rows=hot_rows,
     )
     gap = F.datediff(F.col("_next.admission_date"), F.col("discharge_date"))
     within = F.coalesce(gap.between(0, window_days), F.lit(False))

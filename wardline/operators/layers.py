@@ -95,8 +95,8 @@ def to_iso_date(column: Column) -> Column:
 def to_iso_timestamp(column: Column) -> Column:
     """Zone-free UTC timestamp; a zone suffix is converted, none means UTC."""
     zoned = column.rlike(r"(Z|[+-]\d{2}:\d{2})$")
-    moment = column.try_cast("timestamp")
-    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+    moment = column.try_cast("timestamp")  # an instant; its microseconds since 1970 name no local time, so no hour is told twice
+    in_utc = F.timestamp_add("MICROSECOND", F.unix_micros(moment), F.lit("1970-01-01").cast("timestamp_ntz"))
     return F.when(column.rlike(ISO_TIMESTAMP), F.when(zoned, in_utc).otherwise(column.try_cast("timestamp_ntz")))
 
 

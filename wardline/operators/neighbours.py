@@ -1,9 +1,9 @@
 """Lead and lag inside groups, some of which may hold a large share of all rows.
 
-A plain window puts a whole group into one task.  Groups above ``HOT_ROWS`` are
-cut into order-preserving buckets instead: neighbours are looked up inside each
-bucket, and only the rows at the ends of a bucket ask for an end of the bucket
-next to it.  The bucket ends are linked the same way, one bucket column coarser.
+A plain window puts a whole group into one task.  Here groups are cut into
+order-preserving buckets: neighbours are looked up inside each bucket, and only
+the rows at the ends of a bucket ask for an end of the bucket next to it.  The
+bucket ends are linked the same way, one bucket column coarser.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.sources.storage import materialize
-
-HOT_ROWS = 1_000_000
 
 
 def id_block(column: str, bits: int = 16) -> Column:
@@ -42,36 +39,12 @@ def neighbours(
     payload: Sequence[str],
     following: str = "_next",
     preceding: str | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add struct ``following`` (and ``preceding``) with the ``payload`` of the row after (before) in the group.
-
-    Group sizes are counted first (combined on the map side).  Without a group
-    above ``hot_rows`` one window does it; otherwise the hot groups, of which
-    there are at most rows / ``hot_rows``, go through ``bucketed_neighbours``.
-    """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select(*group)
-    if not sizes.take(1):
-        return _window_neighbours(df, group, order, payload, following, preceding)
-    hot = materialize(sizes, "hot-groups")
-    rest, large = (df.join(hot, list(group), how).select(*df.columns) for how in ("left_anti", "left_semi"))
-    usual = _window_neighbours(rest, group, order, payload, following, preceding)
-    return usual.unionByName(bucketed_neighbours(large, group, buckets, order, payload, following, preceding))
-
-
-def bucketed_neighbours(
-    df: DataFrame,
-    group: Sequence[str],
-    buckets: Sequence[str],
-    order: Sequence[str],
-    payload: Sequence[str],
-    following: str = "_next",
-    preceding: str | None = None,
 ) -> DataFrame:
     """Add struct ``following`` (and ``preceding``) with the ``payload`` of the row after (before) in the group.
 
     ``buckets`` are columns of ``df``, coarse to fine, that never decrease along
-    ``order``.  Group and bucket columns must not be null.
+    ``order``.  Nulls in group and bucket columns are values of their own; in an
+    ascending order they come first.
     """
     cell = [*group, *buckets]
     inside = _window_neighbours(df, cell, order, payload, following, preceding)
@@ -91,7 +64,7 @@ def bucketed_neighbours(
 
     ends = df.groupBy(*cell).agg(end(F.min, "_first"), *([end(F.max, "_last")] if preceding else [])).select(
         *cell, rebuilt("_first"), *([rebuilt("_last")] if preceding else []))
-    linked = bucketed_neighbours(
+    linked = neighbours(
         ends, group, buckets[:-1], buckets, ["_first", "_last"] if preceding else ["_first"],
         "_after", "_before" if preceding else None)
 
@@ -102,8 +75,8 @@ def bucketed_neighbours(
         *[F.col(c).alias(f"_cell_{c}") for c in cell],
         picked("_after", "_first").alias("_next_end"),
         *([picked("_before", "_last").alias("_previous_end")] if preceding else []))
-    # Equality on the bucket columns: ``inside`` is already hashed by them, so only the ends move.
-    joined = inside.join(linked, [F.col(c) == F.col(f"_cell_{c}") for c in cell], "left")
+    # ``inside`` is already hashed by the bucket columns, so only the ends move.
+    joined = inside.join(linked, [F.col(c).eqNullSafe(F.col(f"_cell_{c}")) for c in cell], "left")
     return joined.select(
         *df.columns,
         F.coalesce(F.col(following), F.col("_next_end")).alias(following),

@@ -85,9 +85,11 @@ def categorical_domains(tables: Tables) -> DataFrame:
     ])
 
 
-def _referenced(tables: Tables, references) -> tuple[DataFrame, DataFrame]:
+def _referenced(tables: Tables, references, null_passes: bool = True) -> tuple[DataFrame, DataFrame]:
     """Used keys with their row counts, and known parent keys, over all references at once.
 
+    A parent that is not among the tables knows no key.
+
     Each child and each parent is read once.  Rows collapse to one per used key
     before the shuffle, so a key held by many rows weighs no more than another.
     """
@@ -98,11 +100,14 @@ def _referenced(tables: Tables, references) -> tuple[DataFrame, DataFrame]:
         tables[child].select(F.inline(F.array(*[
             F.struct(F.lit(f"{child}.{column}").alias("child"), F.lit(f"{parent}.{key}").alias("parent"),
                      F.col(column).cast("bigint").alias("key")) for column, parent, key in edges])))
-        .filter(F.col("key").isNotNull()).groupBy("child", "parent", "key").agg(F.count("*").alias("rows"))
+        .filter(F.col("key").isNotNull() if null_passes else F.lit(True)).groupBy("child", "parent", "key").agg(F.count("*").alias("rows"))
         for child, edges in by_child.items()])
+    parents = [edge for edge in dict.fromkeys((parent, key) for _, _, parent, key in references) if edge[0] in tables]
+    if not parents:
+        return used, used.select("parent", "key").limit(0)
     known = union_all([
         tables[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("bigint").alias("key"))
-        for parent, key in dict.fromkeys((parent, key) for _, _, parent, key in references)])
+        for parent, key in parents])
     return used, known
 
 
@@ -113,16 +118,17 @@ def _edge_list(tables: Tables, references) -> DataFrame:
         "child STRING, parent STRING, entity STRING, column_name STRING")
 
 
-def foreign_keys(tables: Tables, references=schemas.REFERENCES) -> DataFrame:
-    """Rows whose reference has no parent; a null reference passes."""
-    used, known = _referenced(tables, references)
+def foreign_keys(tables: Tables, references=schemas.REFERENCES, null_passes: bool = True) -> DataFrame:
+    """Rows whose reference has no parent; a null reference passes if ``null_passes``."""
+    used, known = _referenced(tables, references, null_passes)
     orphans = used.join(known, ["parent", "key"], "left_anti").groupBy("child").agg(F.sum("rows").alias("_orphans"))
     return _edge_list(tables, references).join(orphans, "child", "left").select(*_result(
         F.concat(F.lit("foreign_key:"), "column_name"), F.col("entity"), F.coalesce("_orphans", F.lit(0))))
 
 
 def foreign_keys_lake(tables: Tables) -> DataFrame:
-    return foreign_keys(tables, schemas.LAKE_REFERENCES)
+    """References of the lake's entities at hand: null references and those to entities that are absent are orphans."""
+    return foreign_keys(tables, [r for r in schemas.LAKE_REFERENCES if r[0] in tables], null_passes=False)
 
 
 def missingness(tables: Tables, entities: Sequence[str] | None = None, threshold: float = 1.0) -> DataFrame:
@@ -213,17 +219,23 @@ def flagged(mark: str) -> Column:
 
 
 def bronze_rules(entity: str) -> list[tuple[str, Column]]:
-    """Violations a written bronze row can show: a key column the source object lacked."""
+    """Violations a written bronze row can show: a key column the source object lacked, a value of another type."""
     marks = F.array(*[F.lit(f"missing:{k}") for k in schemas.ENTITY_KEYS[entity]])
-    return [("expected_columns", F.arrays_overlap(F.col(schemas.QUALITY_FLAGS), marks))]
+    missing = ("expected_columns", F.arrays_overlap(F.col(schemas.QUALITY_FLAGS), marks))
+    return [missing, *[(f"type:{name}", flagged(f"type:{name}")) for name in schemas.columns(entity)]]
+
+
+def identifier_rule(entity: str) -> list[tuple[str, Column]]:
+    """Of bronze rows, before silver drops null and repeated keys: an identifier of another type, or not positive."""
+    if entity == "lab_results":
+        return []
+    key = schemas.ENTITY_KEYS[entity][0]
+    return [("identifier_validity", flagged(f"type:{key}") | (F.col(key) <= 0))]
 
 
 def silver_rules(entity: str) -> list[tuple[str, Column]]:
-    """Violations a written silver row can show: identifier, dates, categorical domain."""
+    """Violations a written silver row can show: dates, categorical domain."""
     rules = []
-    if entity != "lab_results":
-        key = schemas.ENTITY_KEYS[entity][0]
-        rules.append(("identifier_validity", flagged(f"type:{key}") | _bad_identifier(key)))
     for name in schemas.columns(entity):
         if schemas.is_date_column(name) or schemas.is_timestamp_column(name):
             rules.append((f"date_parse:{name}", flagged(f"date:{name}") | flagged(f"type:{name}")))
@@ -242,10 +254,12 @@ def row_rules(frame: DataFrame, entity: str, rules: Sequence[tuple[str, Column]]
     return _counted(frame, entity, rules)
 
 
-def required_entities(present: Sequence[str], spark, required: Sequence[str] = schemas.REQUIRED_GOLD) -> DataFrame:
-    missing = len(set(required) - set(present))
-    return local_table(spark, [("required_entities", None, missing, missing == 0)],
-                       "check STRING, entity STRING, violations BIGINT, passed BOOLEAN")
+def required_entities(present: DataFrame, required: Sequence[str] = schemas.REQUIRED_GOLD) -> DataFrame:
+    """Required entities that are not among the ``entity`` values of ``present``."""
+    needed = local_table(present.sparkSession, [(e,) for e in required], "entity STRING")
+    missing = needed.join(present.select("entity"), "entity", "left_anti")
+    return missing.agg(F.count("*").alias("violations")).select(
+        *_result(F.lit("required_entities"), F.lit(None).cast("string"), F.col("violations")))
 
 
 def row_count_reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -22,12 +22,15 @@ SUPPORTED = {
 LIST_BOUND = 1000
 AUDIT_BOUND = 100
 PUBLISHABLE = ("validated", "completed", "active")
+#: The newest snapshot is the last in this order, everywhere.
+PUBLICATION_ORDER = ("published_at", "sequence")
 
 
 def snapshot_active(snapshots: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame:
     """Newest publishable snapshot of each ``by`` group: a maximum, combined before the shuffle."""
     rest = [c for c in snapshots.columns if c not in by]
-    ordered = ["published_at", "snapshot_id", *[c for c in rest if c not in ("published_at", "snapshot_id")]]
+    first = [c for c in (*PUBLICATION_ORDER, "snapshot_id") if c in rest]
+    ordered = [*first, *[c for c in rest if c not in first]]
     return (
         snapshots.filter(F.col("status").isin(*PUBLISHABLE)).groupBy(*by)
         .agg(F.max(F.struct(*ordered)).alias("_newest"))
@@ -38,14 +41,15 @@ def snapshot_active(snapshots: DataFrame, by: Sequence[str] = ("layer",)) -> Dat
 def snapshot_history(snapshots: DataFrame, by: str = "layer", sequence: str = "sequence") -> DataFrame:
     """Published snapshots with the one each replaces, the one that superseded it, and its state.
 
-    A layer may hold most of the registry, so neighbours are found in buckets by
-    publication day and block of the growing ``sequence``.
+    The order is that of publication, then ``sequence``.  A layer may hold most
+    of the registry, so neighbours are found in buckets by publication minute
+    and time, and block of the sequence among equal times.
     """
     published = snapshots.filter(F.col("status").isin(*PUBLISHABLE)).select(
         by, "snapshot_id", "published_at", sequence,
-        F.to_date("published_at").alias("_day"), F.shiftright(F.col(sequence), 16).alias("_block"))
+        F.date_trunc("minute", "published_at").alias("_minute"), F.shiftright(F.col(sequence), 16).alias("_block"))
     linked = neighbours(
-        published, group=[by], buckets=["_day", "_block"], order=["_day", "_block", "published_at", sequence],
+        published, group=[by], buckets=["_minute", "published_at", "_block"], order=["published_at", sequence],
         payload=["snapshot_id"], following="_after", preceding="_before")
     superseded_by = F.col("_after.snapshot_id")
     return linked.select(
@@ -57,10 +61,16 @@ def snapshot_history(snapshots: DataFrame, by: str = "layer", sequence: str = "s
 def registry_list(
     registry: DataFrame, order: Sequence[str | Column], limit: int = 100, **equals,
 ) -> DataFrame:
-    """Registry rows with the given column values, ordered, at most ``LIST_BOUND``."""
+    """Registry rows with the given column values, ordered; asking for more than ``LIST_BOUND`` is an error."""
+    _within(limit, LIST_BOUND)
     for column, value in equals.items():
         registry = registry.filter(F.col(column) == value)
-    return registry.orderBy(*order).limit(min(limit, LIST_BOUND))
+    return registry.orderBy(*order).limit(limit)
+
+
+def _within(limit: int, bound: int) -> None:
+    if not 0 < limit <= bound:
+        raise ValueError(f"a list holds 1 to {bound} rows; {limit} were asked for")
 
 
 def stamp_provenance(result: DataFrame, **ids: str | Column) -> DataFrame:
@@ -117,19 +127,22 @@ def version_compat(versions: DataFrame) -> DataFrame:
         F.col("_verdict.rematerialize").alias("requires_rematerialization"), F.col("_verdict.reason").alias("reason"))
 
 
-def lineage_ancestry(edges: DataFrame, starts: DataFrame, max_depth: int = 32) -> DataFrame:
+def lineage_ancestry(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_id, node_id, depth) of everything upstream of each start, each node once at its least depth.
 
     Breadth first: one join per level on the frontier, which is written to the
-    shared folder so that a level never recomputes those before it.  Ends when
-    a level adds nothing.
+    shared folder so that a level never recomputes those before it.  A node is
+    found once for each start, so cycles end as well: the walk stops when a
+    level adds nothing, however deep the graph is.
     """
+    from itertools import count
+
     from wardline.sources.storage import materialize
 
     level = starts.select(F.col("start_id"), F.col("start_id").alias("node_id"), F.lit(0).alias("depth")).distinct()
     found = level
     steps = edges.select("child_id", "parent_id").distinct()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         reached = (
             level.join(steps, level["node_id"] == steps["child_id"])
             .select("start_id", F.col("parent_id").alias("node_id")).distinct()
@@ -140,11 +153,13 @@ def lineage_ancestry(edges: DataFrame, starts: DataFrame, max_depth: int = 32) -
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    raise ValueError(f"Lineage deeper than {max_depth} levels.")
+        if depth % 16 == 0:  # a deep walk would grow the plan with every level
+            found = materialize(found, "lineage")
+    raise AssertionError("unreachable")
 
 
 def lineage_resolve_run(
-    runs: DataFrame, snapshots: DataFrame, manifests: DataFrame, edges: DataFrame, max_depth: int = 32,
+    runs: DataFrame, snapshots: DataFrame, manifests: DataFrame, edges: DataFrame,
 ) -> DataFrame:
     """Each audited run with its serving snapshot and manifest, one row per upstream lake snapshot."""
     named = runs.select("run_id", F.get_json_object("provenance_json", "$.snapshot_id").alias("snapshot_id"))
@@ -152,7 +167,7 @@ def lineage_resolve_run(
         snapshots.select("snapshot_id", "manifest_id", "gold_snapshot_id", "orchestration_run_id"), "snapshot_id", "left"
     ).join(manifests.select("manifest_id", "dataset_id"), "manifest_id", "left")
     golds = snapshots.select(F.col("gold_snapshot_id").alias("start_id")).filter(F.col("start_id").isNotNull()).distinct()
-    ancestry = lineage_ancestry(edges, golds, max_depth)
+    ancestry = lineage_ancestry(edges, golds)
     upstream = ancestry.select(
         F.col("start_id").alias("gold_snapshot_id"), F.col("node_id").alias("lake_node_id"), "depth")
     return served.join(upstream, "gold_snapshot_id", "left").select(
@@ -168,7 +183,9 @@ def audit_append(existing: DataFrame, incoming: DataFrame, order: Sequence[str]
 
 
 def audit_recent(runs: DataFrame, limit: int = 50) -> DataFrame:
-    return runs.orderBy(F.desc("created_at"), "run_id").limit(min(limit, AUDIT_BOUND))
+    """The newest runs; asking for more than ``AUDIT_BOUND`` is an error."""
+    _within(limit, AUDIT_BOUND)
+    return runs.orderBy(F.desc("created_at"), "run_id").limit(limit)
 
 
 def audit_get(runs: DataFrame, run_id) -> DataFrame:

@@ -83,15 +83,36 @@ def _base(metric: str, tables: Tables) -> tuple[DataFrame, Column]:
 
 
 def _cells(tables: Tables, base: DataFrame, extra: list[str], aggregates: list[Column]) -> DataFrame:
-    """Counts per hospital and quarter: the one pass over the facts that all time and place groupings share."""
+    """Counts per hospital and quarter: the one pass over the facts that all time and place groupings share.
+
+    Encounters of no known hospital count in the groupings by time.
+    """
     hospitals = tables["hospitals"].select("hospital_id", "hospital_name", "urban_rural")
     cells = base.groupBy("hospital_id", F.trunc("admission_date", "quarter").alias("_quarter"), *extra).agg(*aggregates)
-    return cells.join(hospitals, "hospital_id").select(
-        F.col("hospital_name").alias("hospital"), "urban_rural", F.col("_quarter").cast("string").alias("quarter"),
+    return cells.join(hospitals, "hospital_id", "left").select(
+        "hospital_id", F.col("hospital_name").alias("hospital"), "urban_rural", F.col("_quarter").cast("string").alias("quarter"),
         F.year("_quarter").cast("string").alias("year"), *extra,
         *[c for c in cells.columns if c not in {"hospital_id", "_quarter", *extra}])
 
 
+#: Hospitals are told apart by id, whatever they are called; those groupings leave out encounters of no known hospital.
+_KEYS = {"hospital": ("hospital_id", "hospital")}
+_OF_KNOWN_HOSPITALS = ("hospital", "urban_rural")
+
+
+def _grouped(cells: DataFrame, groupings: list[str], aggregates: list[Column], carried: tuple[str, ...] = ()) -> DataFrame:
+    """All requested groupings of the pre-aggregated cells in one pass, with the group's label and value."""
+    columns = list(dict.fromkeys(c for g in groupings for c in (*_KEYS.get(g, (g,)), *carried)))
+    label = F.coalesce(*[F.when(F.grouping(g) == 0, F.lit(g)) for g in groupings])
+    value = F.coalesce(*[F.when(F.grouping(g) == 0, F.col(g)) for g in groupings])
+    key = F.coalesce(*[F.when(F.grouping(g) == 0, F.col(_KEYS.get(g, (g,))[0]).cast("string")) for g in groupings])
+    sets = [[F.col(c) for c in (*_KEYS.get(g, (g,)), *carried)] for g in groupings]
+    out = cells.groupingSets(sets, *[F.col(c) for c in columns]).agg(
+        label.alias("grouping"), value.alias("group_value"), key.alias("_key"), *aggregates)
+    named = F.col("group_value").isNotNull() | ~F.col("grouping").isin(*_OF_KNOWN_HOSPITALS)
+    return out.filter(named).drop(*[c for c in columns if c not in carried])
+
+
 def _by_diagnosis(tables: Tables, base: DataFrame, primary_only: bool) -> DataFrame:
     bridge = tables["encounter_diagnoses"]
     if primary_only:
@@ -99,15 +120,6 @@ def _by_diagnosis(tables: Tables, base: DataFrame, primary_only: bool) -> DataFr
     return base.join(bridge.select("encounter_id", "diagnosis_id"), "encounter_id")
 
 
-def _regroup(cells: DataFrame, groupings: list[str], aggregates: list[Column]) -> DataFrame:
-    """All requested groupings of the pre-aggregated cells in one pass."""
-    label = F.coalesce(*[F.when(F.grouping(g) == 0, F.lit(g)) for g in groupings])
-    value = F.coalesce(*[F.when(F.grouping(g) == 0, F.col(g)) for g in groupings])
-    return cells.groupingSets([[F.col(g)] for g in groupings], *[F.col(g) for g in groupings]).agg(
-        label.alias("grouping"), value.alias("group_value"), *aggregates
-    ).drop(*groupings)
-
-
 def metric(
     tables: Tables, name: str, groupings: tuple[str, ...] = GROUPINGS, min_n: int = MINIMUM_SAMPLE,
     primary_only: bool = True,
@@ -136,12 +148,12 @@ def metric(
         extra, first = [], [F.count("*").alias("_n"), F.sum(numerator).alias("_total")]
         final = [F.sum("_n").alias("denominator"), F.sum("_total").alias("_sum")]
     if flat:
-        parts.append(_regroup(_cells(tables, base, extra, first), flat, final))
+        parts.append(_grouped(_cells(tables, base, extra, first), flat, final).drop("_key"))
     if "diagnosis" in groupings:
         counted = _by_diagnosis(tables, base, primary_only).groupBy("diagnosis_id", *extra).agg(*first)
         names = tables["diagnoses"].select("diagnosis_id", "diagnosis_name")
         parts.append(
-            counted.join(names, "diagnosis_id").groupBy("diagnosis_name").agg(*final).select(
+            counted.join(names, "diagnosis_id").groupBy("diagnosis_id", "diagnosis_name").agg(*final).select(
                 F.lit("diagnosis").alias("grouping"), F.col("diagnosis_name").alias("group_value"),
                 "denominator", "value" if median else "_sum"))
     merged = union_all(parts)
@@ -178,11 +190,12 @@ def diagnosis_prevalence(
     flat = [g for g in groupings if g != "diagnosis"]
     if flat:
         keyed = bridge.join(names, "diagnosis_id").join(encounters, "encounter_id")
-        carriers = _regroup_with(_cells(tables, keyed, ["diagnosis_name"], [F.count("*").alias("_n")]), flat,
-                                 "diagnosis_name", F.sum("_n").alias("numerator"))
-        cohort_size = _regroup(_cells(tables, encounters, [], [F.count("*").alias("_n")]), flat,
+        carriers = _grouped(
+            _cells(tables, keyed, ["diagnosis_id", "diagnosis_name"], [F.count("*").alias("_n")]), flat,
+            [F.sum("_n").alias("numerator")], ("diagnosis_id", "diagnosis_name"))
+        cohort_size = _grouped(_cells(tables, encounters, [], [F.count("*").alias("_n")]), flat,
                                [F.sum("_n").alias("denominator")])
-        parts.append(carriers.join(cohort_size, ["grouping", "group_value"]).select(
+        parts.append(carriers.join(cohort_size.drop("group_value"), ["grouping", "_key"]).select(
             "grouping", F.concat_ws(": ", "group_value", "diagnosis_name").alias("group_value"),
             "denominator", "numerator"))
     merged = union_all(parts)
@@ -191,20 +204,23 @@ def diagnosis_prevalence(
                       ratio("numerator", "denominator").alias("value")), min_n)
 
 
-def _regroup_with(cells: DataFrame, groupings: list[str], carried: str, aggregate: Column) -> DataFrame:
-    label = F.coalesce(*[F.when(F.grouping(g) == 0, F.lit(g)) for g in groupings])
-    value = F.coalesce(*[F.when(F.grouping(g) == 0, F.col(g)) for g in groupings])
-    return cells.groupingSets(
-        [[F.col(g), F.col(carried)] for g in groupings], *[F.col(g) for g in groupings], F.col(carried)
-    ).agg(label.alias("grouping"), value.alias("group_value"), aggregate).drop(*groupings)
-
-
 def minimum_sample(df: DataFrame, min_n: int = MINIMUM_SAMPLE, flag: bool = False) -> DataFrame:
     """Drop groups below ``min_n``, or keep them with a boolean ``below_minimum``."""
     small = F.col("denominator") < min_n
     return df.withColumn("below_minimum", small) if flag else df.filter(~small)
 
 
+def write_marts(tables: Tables, path: str, names: Sequence[str] = tuple(DEFINITIONS), groupings: tuple[str, ...] = GROUPINGS) -> None:
+    """Write the metrics below ``path``, a folder for each."""
+    union_all([metric(tables, name, groupings) for name in names]).write.partitionBy("metric").parquet(path)
+
+
+def read_marts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(
+        "metric STRING, grouping STRING, group_value STRING, denominator BIGINT, value DOUBLE").parquet(path).select(
+        "metric", "grouping", "group_value", "denominator", "value")
+
+
 def metric_catalog(spark: SparkSession) -> DataFrame:
     """The registry as a table: one row per metric."""
     rows = [

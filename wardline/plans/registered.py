@@ -172,7 +172,7 @@ def _(tables):
 @query("object_inventory")
 def _(tables):
     root = storage.workspace(tables.spark, "inventory")
-    for entity in ("patients", "providers", "encounter_procedures"):
+    for entity in tables:
         tables[entity].write.parquet(f"{root}/{entity}/v1")
     return storage.object_inventory(tables.spark, root).select("entity", "row_count")
 
@@ -292,7 +292,7 @@ def _layer_rows(tables: ClinicalTables, done) -> DataFrame:
 
 @query("raw_publish")
 def _(tables):
-    lake, paths = _lake(tables, ["providers", "lab_results"])
+    lake, paths = _lake(tables, list(tables))
     return _layer_rows(tables, [lake.publish_raw(paths, "clinical", "batch-1")])
 
 
@@ -342,15 +342,11 @@ def _(tables):
         "row_count", gold.agg(F.count("*")).scalar())
 
 
-_MART_METRICS = ("mortality_rate", "complication_rate", "encounter_volume")
-
-
 @query("gold_metric_marts")
 def _(tables):
     path = storage.workspace(tables.spark, "marts")
-    marts = union_all([metrics.metric(tables, name) for name in _MART_METRICS])
-    marts.write.partitionBy("metric").parquet(path)
-    return tables.spark.read.schema(marts.schema).parquet(path)
+    metrics.write_marts(tables, path)
+    return metrics.read_marts(tables.spark, path)
 
 
 @query("layer_transition_check")
@@ -383,11 +379,13 @@ def _checksums(tables: ClinicalTables, frames) -> DataFrame:
 
 @query("dq_input_checksums")
 def _(tables):
-    before = {e: tables[e] for e in ("providers", "encounter_diagnoses", "encounter_procedures")}
-    bridge = tables["encounter_diagnoses"]
-    after = {**before, "encounter_diagnoses": bridge.withColumn(
-        "diagnosis_rank", F.when(F.col("encounter_id") == bridge.agg(F.max("encounter_id")).scalar(), 0)
-        .otherwise(F.col("diagnosis_rank")))}
+    """All entities; those with an even number of rows lose the rows of their largest key."""
+    before = {e: tables[e] for e in tables}
+    after = {}
+    for entity, frame in before.items():
+        key = F.col(schemas.ENTITY_KEYS[entity][0] if entity != "lab_results" else "encounter_id")
+        even = frame.agg(F.count("*") % 2 == 0).scalar()
+        after[entity] = frame.filter(~(even & (key == frame.agg(F.max(key)).scalar())))
     return quality.input_checksums(_checksums(tables, before), _checksums(tables, after))
 
 
@@ -409,7 +407,7 @@ def _(tables):
     parsed = lines.parse_lines(tables.star.events.select(F.col("props").alias("line"))).filter("is_object")
     fields, flags = lines.typed_fields(parsed, "patients")
     bronze = parsed.select(*fields, flags.alias(schemas.QUALITY_FLAGS))
-    rules = quality.bronze_rules("patients") + quality.silver_rules("patients")[:1]
+    rules = [*quality.bronze_rules("patients")[:1], ("identifier_validity", F.col("patient_id").isNull() | (F.col("patient_id") <= 0))]
     return quality.row_rules(bronze, "patients", rules)
 
 
@@ -426,14 +424,14 @@ _plain("dq_identifier_validity", quality.identifier_validity)
 @query("dq_date_parse")
 def _(tables):
     text = {"encounters": inputs.dirty_encounters(tables), "patients": layers.as_iso_text(tables["patients"]),
-            "lab_results": layers.as_iso_text(tables["lab_results"])}
+            **{e: layers.as_iso_text(tables[e]) for e in ("lab_results", "encounter_procedures", "quality_measures")}}
     return quality.date_parse(text)
 
 
 _plain("dq_categorical_domains", quality.categorical_domains)
 _plain("dq_foreign_keys_lake", quality.foreign_keys_lake)
 _plain("dq_foreign_keys_full", quality.foreign_keys)
-_plain("dq_missingness", quality.missingness, entities=["patients", "encounters", "readmissions"], threshold=0.05)
+_plain("dq_missingness", quality.missingness, threshold=0.05)
 _plain("dq_quality_rate_bounds", quality.quality_rate_bounds)
 _plain("dq_check_constraints", quality.check_constraints)
 _plain("dq_not_null", quality.not_null)
@@ -445,9 +443,8 @@ _plain("dq_unknown_codes", quality.unknown_codes)
 
 @query("dq_required_entities")
 def _(tables):
-    counts = questions.row_counts(tables, schemas.REQUIRED_GOLD)
-    present = counts.filter(F.col("row_count") > 0).agg(F.count("*")).scalar()
-    return quality.required_entities(list(tables), tables.spark).withColumn("filled_entities", present)
+    """Entities that have at least 5,000 rows count as present."""
+    return quality.required_entities(questions.row_counts(tables).filter(F.col("row_count") >= 5000))
 
 
 @query("dq_row_count_reconcile")
@@ -495,7 +492,7 @@ def _(tables):
 @query("registry_list")
 def _(tables):
     return registry.registry_list(
-        inputs.snapshot_registry(tables), [F.desc("published_at"), "snapshot_id"], limit=5000, layer="gold"
+        inputs.snapshot_registry(tables), [F.desc("published_at"), "snapshot_id"], limit=registry.LIST_BOUND, layer="gold"
     ).select("snapshot_id", "status", "sequence")
 
 
@@ -592,7 +589,7 @@ def _(tables):
 
 @query("audit_recent")
 def _(tables):
-    return registry.audit_recent(inputs.audit_runs(tables), 500).select("run_id", "created_at", "execution_status")
+    return registry.audit_recent(inputs.audit_runs(tables), registry.AUDIT_BOUND).select("run_id", "created_at", "execution_status")
 
 
 @query("audit_get")
@@ -659,8 +656,10 @@ def _(tables):
 
 @query("metric_catalog")
 def _(tables):
-    return metrics.with_definition(metrics.metric(tables, "avg_los", ("urban_rural", "year"))).select(
-        "metric", "metric_name", "unit", "eligibility", "grouping", "group_value", "denominator", "value")
+    """The ten definitions, each with the number of groups that the metric has."""
+    groups = union_all([metrics.metric(tables, name) for name in metrics.DEFINITIONS]).groupBy("metric").agg(F.count("*").alias("groups"))
+    return metrics.metric_catalog(tables.spark).join(groups, "metric", "left").select(
+        "metric", "name", "unit", "eligibility", "minimum_sample_size", F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
 # --- privacy, checks, shaping ------------------------------------------------------------------------------------
@@ -712,12 +711,12 @@ def _(tables):
 
 @query("follow_up_flag")
 def _(tables):
-    opening = F.concat(F.lit("and those "), F.substring_index("text", " ", 2))
+    whole = F.concat(F.lit("and those "), F.col("text"))
     return inputs.questions(tables).join(
         tables.star.conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"]
     ).select(
         "conv_id", "turn", tx.follow_up_flag(F.col("question")).alias("follow_up_question"),
-        tx.follow_up_flag(opening).alias("follow_up_text"))
+        tx.follow_up_flag(whole).alias("follow_up_text"))
 
 
 @query("normalize_text")
@@ -753,7 +752,7 @@ def _(tables):
 def _(tables):
     return tables.star.documents.select(
         "doc_id", tx.redact_secrets(F.col("text"), 'token = "[0-9a-f]{8,}"', "[REDACTED]", limit=None).alias("redacted"),
-        tx.redact_secrets(F.col("text")).alias("message"))
+        tx.redact_secrets(F.col("text"), limit=None).alias("message"))
 
 
 @query("distinct_messages")
@@ -858,9 +857,8 @@ def _(tables):
         F.to_json(F.struct("event_id", "user_id", "event_type", "value",
                            ident.iso_timestamp(F.col("ts")).alias("ts"))).alias("value"),
         F.to_date("ts").alias("day"))
-    drops.repartitionByRange(4, "day").select("value").write.text(f"{root}/drop")
-    drops.filter(F.get_json_object("value", "$.event_type") == "click").select("value").coalesce(1).write.mode("append").text(
-        f"{root}/drop")
+    drops.repartitionByRange("day").select("value").write.text(f"{root}/drop")
+    drops.filter(F.get_json_object("value", "$.event_type") == "click").select("value").write.mode("append").text(f"{root}/drop")
     ingest_lines(
         tables.spark, f"{root}/drop", f"{root}/bronze", f"{root}/checkpoint",
         "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, ts TIMESTAMP_NTZ", ["event_id"], "ts",

@@ -120,8 +120,8 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], o
 
 
 def incremental_batch(parent: DataFrame, incoming: DataFrame, keys: Sequence[str], parent_batch: str, batch: str) -> DataFrame:
-    """New rows of an incremental batch, tagged with their batch and its parent."""
-    fresh = incoming.join(parent.select(*keys).distinct(), list(keys), "left_anti")
+    """New rows of an incremental batch, one per key, tagged with their batch and its parent."""
+    fresh = insert_ignore(parent, incoming, keys)
     return fresh.select(
         *incoming.columns, F.lit(batch).alias("batch_id"), F.lit(parent_batch).alias("parent_batch_id"),
         F.lit("incremental").alias("batch_kind"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.layers import first_per_key
@@ -12,6 +13,9 @@ from wardline.sources.lines import parse_lines
 from wardline.sources.storage import materialize, path_exists
 
 
+KEY_PARTS = 256
+
+
 def ingest_lines(
     spark: SparkSession,
     source: str,
@@ -21,32 +25,38 @@ def ingest_lines(
     keys: Sequence[str],
     day_column: str,
     files_per_trigger: int | None = None,
-    key_fixes_day: bool = False,
+    key_parts: int = KEY_PARTS,
 ) -> None:
     """Take every new file once and append rows with unseen keys to ``target``.
 
     Each micro-batch writes its own folder, overwritten if the batch is retried,
     so a restart neither loses nor doubles rows, and no row is dropped for being
-    late.  A key is looked up in everything ingested before; where a key can
-    only ever come with one day, ``key_fixes_day`` limits the lookup to the days
-    of the batch (the target is laid out by day).  Malformed lines go to
-    ``<target>_rejected``.
+    late.  Keys seen before stand in ``<target>_keys``, laid out by hash, of which
+    a batch reads the parts that its own keys fall into.  Malformed lines, and
+    objects whose key is missing or of another type, go to ``<target>_rejected``.
     """
     stream = spark.readStream.format("text")
     if files_per_trigger:
         stream = stream.option("maxFilesPerTrigger", files_per_trigger)
     lines = stream.load(source).withColumnRenamed("value", "line")
+    part = F.pmod(F.xxhash64(*keys), F.lit(key_parts)).cast("int")
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(batch)
-        rejected = parsed.filter(~F.col("is_object")).select("line")
-        rejected.write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
-        rows = parsed.filter("is_object").select(F.from_json("line", schema).alias("row")).select("row.*")
-        rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys]).withColumn("_day", F.to_date(day_column))
-        if batch_id and path_exists(batch.sparkSession, target):
+        read = materialize(parse_lines(batch).select(
+            "line", F.when(F.col("is_object"), F.from_json("line", schema)).alias("row")), "micro-batch")
+        whole = reduce(Column.__and__, [F.col(f"row.{k}").isNotNull() for k in keys])
+        good = F.coalesce(whole, F.lit(False))
+        read.filter(~good).select("line").write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
+        rows = read.filter(good).select("row.*")
+        rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys]).withColumn("_part", part)
+        known = f"{target}_keys"
+        if batch_id and path_exists(batch.sparkSession, known):
             rows = materialize(rows, "micro-batch")
-            rows = _unseen(rows, target, batch_id, keys, key_fixes_day)
-        rows.write.mode("overwrite").partitionBy("_day").parquet(f"{target}/batch={batch_id}")
+            rows = _unseen(rows, known, batch_id, keys)
+        rows = materialize(rows, "micro-batch")
+        rows.drop("_part").withColumn("_day", F.to_date(day_column)).write.mode("overwrite").partitionBy("_day").parquet(
+            f"{target}/batch={batch_id}")
+        rows.select(*keys, "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{known}/batch={batch_id}")
 
     query = (
         lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
@@ -55,13 +65,12 @@ def ingest_lines(
     query.awaitTermination()
 
 
-def _unseen(rows: DataFrame, target: str, batch_id: int, keys: Sequence[str], key_fixes_day: bool) -> DataFrame:
+def _unseen(rows: DataFrame, known: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "_day"]) + ", batch INT"
-    earlier = rows.sparkSession.read.schema(schema).parquet(target).filter(F.col("batch") < batch_id)
-    if key_fixes_day:
-        days = [r[0] for r in rows.select("_day").distinct().collect()]  # one value per calendar day
-        earlier = earlier.filter(F.col("_day").isin(days))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", _part INT, batch INT"
+    touched = [r[0] for r in rows.select("_part").distinct().collect()]  # key_parts numbers at most
+    earlier = rows.sparkSession.read.schema(schema).parquet(known).filter(
+        (F.col("batch") < batch_id) & F.col("_part").isin(touched))
     return rows.join(earlier.select(*keys), list(keys), "left_anti").select(*rows.columns)
 
 
