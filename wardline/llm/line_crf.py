@@ -28,7 +28,7 @@ ROUNDS, STEPS, RATE, RIDGE = 3, 80, 0.15, 1e-3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
-_BATCH = 2 << 20
+_BATCH = 1 << 19
 
 
 def _table(chars: bytes) -> np.ndarray:
