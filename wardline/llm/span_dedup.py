@@ -33,7 +33,7 @@ from wardline.llm.suffix_groups import suffix_arrays
 LENGTH = 100
 ANCHOR = 32
 BATCH = 1 << 19  # bytes of text in arrays at a time
-SORTED_AT_ONCE = 1 << 19  # symbols of many groups in one call
+SORTED_AT_ONCE = 1 << 18  # symbols of many groups in one call
 CROWDED = 4096  # distinct pieces of an anchor from which its strings are grouped one by one
 
 _REPEATS = 1 << 16  # rows of one id
@@ -432,21 +432,23 @@ def _mark(batches: Batches) -> Batches:
             removed=[pairs[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
 
 
-def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``docs`` with a column ``_number`` that no two rows share, in the order of ids; rows without an id are left out.
+def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a column ``_number`` that no two rows share, in the order of ids, and whether ids repeat.
 
-    It is the id, or where ids repeat id * 65,536 + place, the rows of one id
-    being placed by their texts' hashes.
+    Rows without an id are left out.
+
+    The number is the id, or where ids repeat id * 65,536 + place, the rows of
+    one id being placed by their texts' hashes.
     """
     rows = docs.where(F.col(f"`{id_column}`").isNotNull()).withColumn("_number", F.col(f"`{id_column}`").cast("long"))
     size = rows.groupBy("_number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (size or 0) <= 1:
-        return rows
+        return rows, False
     if size > _REPEATS:
         raise ValueError("more than 65,536 rows share an id")
     text = F.col(f"`{text_column}`")
     place = F.row_number().over(W.partitionBy("_number").orderBy(F.xxhash64(text), text)) - 1
-    return materialize(rows.withColumn("_place", place).withColumn("_number", F.col("_number") * _REPEATS + F.col("_place")).drop("_place"), "texts")
+    return materialize(rows.withColumn("_place", place).withColumn("_number", F.col("_number") * _REPEATS + F.col("_place")).drop("_place"), "texts"), True
 
 
 def marked_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
@@ -458,7 +460,7 @@ def marked_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED)
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = partition_count(rows)
-    buckets, doc_buckets = max(width, -(-total // (16 << 20))), max(4 * width, -(-total // (4 << 20)))
+    buckets, doc_buckets = max(2 * width, -(-total // (8 << 20))), max(8 * width, -(-total // (2 << 20)))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(width, "bucket").sortWithinPartitions("bucket")
@@ -527,11 +529,11 @@ def repeated_passages(
     empty; rows of one id are documents of their own, ordered by their texts'
     hashes; an empty table gives no row.
     """
-    rows = numbered(take_columns(docs, doc_id=id_column, text=text_column), "doc_id", "text")
+    rows, repeated = numbered(take_columns(docs, doc_id=id_column, text=text_column), "doc_id", "text")
     report = marked_spans(_plain(rows, "text"), length, crowded).mapInArrow(
         _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return report.join(rows.select("_number", F.col("doc_id").cast("long").alias("_id")), F.col("doc_id") == F.col("_number")).select(
-        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    doc_id = F.shiftright("doc_id", _REPEATS.bit_length() - 1) if repeated else F.col("doc_id")
+    return report.withColumn("doc_id", doc_id)
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -559,7 +561,7 @@ def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     Null texts stay null, and rows without an id stay as they are.
     """
-    rows = numbered(docs, id_column, text_column)
+    rows, _ = numbered(docs, id_column, text_column)
     texts = marked_spans(_plain(rows, text_column), length).mapInArrow(_whole_characters, "doc_id long, text string").select(
         F.col("doc_id").alias("_of"), F.col("text").alias("_kept"))
     others = rows.withColumn("_null", F.col(f"`{text_column}`").isNull()).drop(text_column)
