@@ -175,13 +175,19 @@ def not_null(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame
 
 
 def unique_keys(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
-    """Keys held by more than one row, for primary and further unique keys."""
+    """Keys held by more than one row, for primary and further unique keys; one pass over each entity."""
     parts = []
     for entity in entities or list(tables):
-        for key in (schemas.ENTITY_KEYS[entity], *schemas.UNIQUE_KEYS.get(entity, ())):
-            repeated = tables[entity].groupBy(*key).agg(F.count("*").alias("_n")).agg(
-                F.count_if(F.col("_n") > 1).alias("violations"))
-            parts.append(repeated.select(*_result(F.lit("unique:" + ",".join(key)), F.lit(entity), F.col("violations"))))
+        keys = [schemas.ENTITY_KEYS[entity], *schemas.UNIQUE_KEYS.get(entity, ())]
+        if len(keys) == 1:
+            counted = tables[entity].groupBy(*keys[0]).agg(F.count("*").alias("_n")).withColumn("_key", F.lit(0))
+        else:
+            tagged = F.array(*[F.struct(F.lit(n).alias("_key"), F.to_json(F.struct(*key)).alias("_value")) for n, key in enumerate(keys)])
+            counted = tables[entity].select(F.inline(tagged)).groupBy("_key", "_value").agg(F.count("*").alias("_n"))
+        repeated = counted.agg(*[F.count_if((F.col("_key") == n) & (F.col("_n") > 1)).alias(f"_{n}") for n in range(len(keys))])
+        lines = F.array(*[
+            F.struct(F.lit("unique:" + ",".join(key)).alias("check"), F.col(f"_{n}").alias("violations")) for n, key in enumerate(keys)])
+        parts.append(repeated.select(F.inline(lines)).select(*_result(F.col("check"), F.lit(entity), F.col("violations"))))
     return union_all(parts)
 
 
