@@ -143,6 +143,14 @@ def lines_of(data: np.ndarray, at: np.ndarray, hashes: PolynomialHash) -> Lines:
     return Lines(features, size + 1, counts)
 
 
+def lines_of_texts(texts: list[str | None], at_once: int = 64) -> Lines:
+    """The same for many texts, a few at a time."""
+    hashes, parts = PolynomialHash(), []
+    for k in range(0, len(texts), at_once):
+        parts.append(lines_of(*column_bytes(pa.array(texts[k : k + at_once], pa.string())), hashes))
+    return Lines(*[np.concatenate([getattr(p, name) for p in parts]) for name in ("features", "sizes", "counts")])
+
+
 def marginals(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of good of each line, expected transitions as a 2 x 2 table), by forward-backward.
 
@@ -274,8 +282,7 @@ def train(
     texts = [t for c in sorted(chosen) for t in chosen[c]]
     if not texts:
         return None
-    data, at = column_bytes(pa.array(texts, pa.string()))
-    return fit(lines_of(data, at, PolynomialHash()), np.array([c for c in sorted(chosen) for _ in chosen[c]]), sizes)
+    return fit(lines_of_texts(texts), np.array([c for c in sorted(chosen) for _ in chosen[c]]), sizes)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
