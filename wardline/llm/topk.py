@@ -130,13 +130,13 @@ def oracle(every: int = 50, top: int = TOP, scale: int = SCALE) -> str:
     """The same rows by comparing every pair, as DuckDB SQL."""
     return f"""
     WITH v AS (
-      SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
       FROM embeddings
       WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), pairs AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+             CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
       WHERE q.vec_id % {every} = 0
     )
