@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,13 +14,18 @@ from pyspark.sql import functions as F
 from wardline.sources.storage import materialize, workspace
 
 __all__ = [
-    "Batches", "PolynomialHash", "bucket_count", "column_bytes", "components", "documents", "emit", "long_id",
+    "Batches", "PolynomialHash", "bucket_count", "column_bytes", "components", "documents", "emit", "give_back_memory", "long_id",
     "materialize", "mix64", "partition_count", "rows_of_batches", "small_batches", "sorted_runs", "star_edges", "table", "take_columns",
     "workspace",
 ]
 
 TEXTS_IN_BATCH = 1000
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -139,6 +145,15 @@ def rows_of_batches(batches: Iterable[pa.RecordBatch], rows: int = 0, size: int
                 held, n, b = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return what a Python worker has freed to the machine; workers outlive tasks and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str], size: int = 8 << 20) -> Iterator[pa.Table]:

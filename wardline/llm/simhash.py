@@ -84,7 +84,7 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _spread(buckets: int):
     """Variants of a batch as one packed row for each bucket: sorted by key, 16 bytes a variant."""
     def step(batches: Batches) -> Batches:
-        for part in rows_of_batches(batches, size=1 << 20):
+        for part in rows_of_batches(batches, size=1 << 17):  # 16,384 fingerprints, a million variants
             fps = np.asarray(part["fp"].combine_chunks()).view(np.uint64)
             keys, of = variant_keys(fps)
             bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
