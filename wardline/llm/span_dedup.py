@@ -16,7 +16,7 @@ before each shuffle, and the rest travels packed by hash buckets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -416,7 +416,6 @@ def _sort_groups(buckets: int, doc_buckets: int, length: int):
 
 
 _MARKED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("removed", pa.binary())])
-_MARKED_DDL = "doc_id long, text binary, removed binary"
 
 
 def _mark(batches: Batches) -> Batches:
@@ -451,10 +450,14 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
     return materialize(rows.withColumn("_place", place).withColumn("_number", F.col("_number") * _REPEATS + F.col("_place")).drop("_place"), "texts"), True
 
 
-def marked_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, text as bytes, removed) of rows (doc_id, text) with unique ids: the byte spans that repeat earlier strings.
+def marked_spans(
+    rows: DataFrame, then: Callable[[Batches], Batches], schema: str, length: int = LENGTH, crowded: int = CROWDED,
+) -> DataFrame:
+    """What ``then`` makes of batches (doc_id, text as bytes, removed) of rows (doc_id, text) with unique ids.
 
-    ``removed`` holds ascending disjoint (start, end) pairs of 32-bit integers.
+    ``removed`` holds ascending disjoint (start, end) pairs of 32-bit integers:
+    the byte spans that repeat earlier strings.  Both steps share one Python
+    worker.
     """
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes")
@@ -475,7 +478,7 @@ def marked_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED)
     wanted = with_texts(compared.where(F.col("kind") == _WANTED)).mapInArrow(_fetch(buckets, length), _BYTES_DDL)
     found = dealt(wanted).mapInArrow(_sort_groups(buckets, doc_buckets, length), _PACKED_DDL)
     marks = compared.where(F.col("kind") == _REPEAT).unionByName(found)
-    return with_texts(marks).mapInArrow(_mark, _MARKED_DDL)
+    return with_texts(marks).mapInArrow(lambda batches: then(_mark(batches)), schema)
 
 
 _TEXTS = pa.schema([*_PACKED, ("doc_id", pa.int64())])
@@ -530,8 +533,8 @@ def repeated_passages(
     hashes; an empty table gives no row.
     """
     rows, repeated = numbered(take_columns(docs, doc_id=id_column, text=text_column), "doc_id", "text")
-    report = marked_spans(_plain(rows, "text"), length, crowded).mapInArrow(
-        _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    report = marked_spans(
+        _plain(rows, "text"), _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, crowded)
     doc_id = F.shiftright("doc_id", _REPEATS.bit_length() - 1) if repeated else F.col("doc_id")
     return report.withColumn("doc_id", doc_id)
 
@@ -562,7 +565,7 @@ def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     Null texts stay null, and rows without an id stay as they are.
     """
     rows, _ = numbered(docs, id_column, text_column)
-    texts = marked_spans(_plain(rows, text_column), length).mapInArrow(_whole_characters, "doc_id long, text string").select(
+    texts = marked_spans(_plain(rows, text_column), _whole_characters, "doc_id long, text string", length).select(
         F.col("doc_id").alias("_of"), F.col("text").alias("_kept"))
     others = rows.withColumn("_null", F.col(f"`{text_column}`").isNull()).drop(text_column)
     joined = others.join(texts, F.col("_number") == F.col("_of"))
