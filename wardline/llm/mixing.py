@@ -6,27 +6,33 @@ released at slot floor((j - 1) / w) and due by slot ceil(j / w).  In every slot
 the released block with the earliest deadline goes; its source's share then
 differs from w * t by less than one block at every time t.
 
-Weights are whole numbers over a common period, so the schedule repeats: one
-period is worked out once, and the slot of any block follows from it by
-arithmetic, without a walk over the blocks.
+Weights are exact: a float is a whole number over a power of two, and windows
+come from those whole numbers, so no error adds up.  A source that has run out
+takes no further part.  The driver walks over the blocks once and keeps the
+state every ``BLOCKS_AT_ONCE`` of them; tasks walk the stretches again and
+hand out the slots.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import long_id, materialize
+from wardline.llm.common import Batches, emit, long_id, materialize
 
 PERIOD = 1024
 BLOCK_CHARS = 64_000
 TEMPER = 0.7
 ROWS_IN_BUCKET = 5_000
 MOST_SOURCES = 100_000
+BLOCKS_AT_ONCE = 1 << 16
 
 
 def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -74,6 +80,65 @@ def schedule(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int
     return out
 
 
+def exact_weights(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportions of the positive weights."""
+    live = {k: Fraction(w) for k, w in weights.items() if w > 0}
+    scale = math.lcm(*(w.denominator for w in live.values()))
+    units = {k: int(w * scale) for k, w in live.items()}
+    common = math.gcd(*units.values()) or 1
+    return {k: u // common for k, u in units.items()}
+
+
+def walk(units: list[int], blocks: list[int], done: list[int], slot: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the source, block from 1, release, deadline, slot) of the blocks after ``done``, from ``slot`` on.
+
+    Earliest deadline first, equal deadlines by number.  Slots in which no
+    source with blocks left has one released stay empty.
+    """
+    total = sum(units)
+    waiting = [(done[k] * total // units[k], k, done[k] + 1) for k in range(len(units)) if done[k] < blocks[k]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * total // units[k]), k, j, release))
+        deadline, k, j, release = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a block missed its deadline")
+        yield k, j, release, deadline, slot
+        slot += 1
+        if j < blocks[k]:
+            heapq.heappush(waiting, (j * total // units[k], k, j + 1))
+
+
+_PLAN = pa.schema([("source", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
+
+
+def planned(spark: SparkSession, units: Mapping[str | None, int], blocks: Mapping[str | None, int]) -> DataFrame:
+    """source, block, release, deadline, slot: the first ``blocks`` of each source, at its exact share of the slots."""
+    names = sorted(units, key=lambda k: (k is not None, k or ""))
+    of, most = [units[k] for k in names], [blocks[k] for k in names]
+    done, states = [0] * len(names), []
+    for n, (k, j, _, _, slot) in enumerate(walk(of, most, done, 0)):
+        if n % BLOCKS_AT_ONCE == 0:
+            states.append((slot, list(done)))
+        done[k] = j
+    n_states = max(1, len(states))
+
+    def step(batches: Batches) -> Batches:
+        for part in batches:
+            for row in part.to_pylist():
+                found = [x for x, _ in zip(walk(of, most, row["done"], row["at"]), range(BLOCKS_AT_ONCE), strict=False)]
+                k, block, release, deadline, slot = zip(*found, strict=True)
+                yield emit(_PLAN, source=[names[i] for i in k], block=block, release=release, deadline=deadline, slot=slot)
+
+    states = spark.createDataFrame(states, "at long, done array<long>").repartition(n_states)
+    return states.mapInArrow(step, "source string, block long, release long, deadline long, slot long")
+
+
 def source_sizes(docs: DataFrame, source_column: str, text_column: str) -> DataFrame:
     return docs.groupBy(F.col(f"`{source_column}`").cast("string").alias("source")).agg(
         F.sum(F.coalesce(F.length(f"`{text_column}`"), F.lit(0)).cast("long")).alias("chars"), F.count("*").alias("rows"))
@@ -86,7 +151,7 @@ def tempered(sizes: Mapping[str | None, int], power: float = TEMPER) -> dict[str
 
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_column: str = "doc_id", text_column: str = "text",
-    source_column: str = "source", block_chars: int = BLOCK_CHARS, period: int = PERIOD, power: float = TEMPER,
+    source_column: str = "source", block_chars: int = BLOCK_CHARS, period: int | None = None, power: float = TEMPER,
 ) -> DataFrame:
     """doc_id, source, n_chars, block (from 1), release, deadline, slot, place: every row, once.
 
@@ -95,23 +160,24 @@ def mix(
     the mix is (slot, place); ``place`` counts from 1 inside a slot.  Without
     ``weights`` those of :func:`tempered` hold; sources that ``weights`` leaves
     out, or gives nothing, come after all others (their slot counts on from
-    there).  A source that has run out leaves its slots empty, so the order of
-    the others stays.  Null texts have no length, a null source is a source, rows
+    there).  A source that has run out leaves its slots to the others, whose
+    windows stay.  With ``period`` the weights are first rounded to whole slots of it.  Null texts have no length, a null source is a source, rows
     without an id keep a null id, repeated rows are placed side by side, an
     empty table gives no row.
 
     The driver sees one line per source (``MOST_SOURCES`` at most, else it
-    raises) and one period of the schedule.
+    raises) and the state of the schedule once in ``BLOCKS_AT_ONCE`` blocks.
     """
     sizes_row = source_sizes(docs, source_column, text_column).limit(MOST_SOURCES + 1).collect()
     if len(sizes_row) > MOST_SOURCES:
         raise ValueError("more sources than a schedule is meant for")
     sizes = {r["source"]: r["chars"] for r in sizes_row}
     n_rows = sum(r["rows"] for r in sizes_row)
-    chosen = whole_weights(tempered(sizes, power) if weights is None else {k: w for k, w in weights.items() if k in sizes}, period)
+    targets = tempered(sizes, power) if weights is None else {k: w for k, w in weights.items() if k in sizes}
+    chosen = exact_weights(targets) if period is None else whole_weights(targets, period)
     spark = docs.sparkSession
-    length = sum(chosen.values())
-    plan = schedule(chosen) if chosen else []
+    total = sum(chosen.values())
+    blocks = {k: sizes[k] // block_chars + 1 for k in chosen}
     late = sorted((k for k in sizes if k not in chosen), key=lambda k: (k is not None, k or ""))
     buckets = max(1, -(-n_rows // ROWS_IN_BUCKET))
 
@@ -134,16 +200,11 @@ def mix(
     ).select("r.*", "b.before")
     rows = rows.withColumn("block", F.expr(f"(before + own) div {block_chars} + 1"))
 
-    slots_of = [(k, n) for k, n in chosen.items()] + [(k, 0) for k in late]
-    by_source = spark.createDataFrame(slots_of, "source string, slots long") if slots_of else spark.createDataFrame([], "source string, slots long")
-    in_period = spark.createDataFrame([(k, j, slot) for k, j, _, _, slot in plan], "source string, j long, at long")
     rows = rows.alias("r").join(
-        F.broadcast(by_source).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.slots")
-    j = F.expr("CASE WHEN slots > 0 THEN (block - 1) % slots + 1 END")
-    rows = rows.withColumn("j", j).alias("r").join(
-        F.broadcast(in_period).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.j") == F.col("p.j")), "left",
-    ).select("r.*", "p.at")
-    last = max((-(-(sizes[k] // block_chars + 1) // chosen[k]) for k in chosen), default=0) * length
+        planned(spark, chosen, blocks).alias("p"),
+        F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")), "left",
+    ).select("r.*", "p.release", "p.deadline", F.col("p.slot").alias("at"))
+    last = max((-(-blocks[k] * total // chosen[k]) for k in chosen), default=0)
     after: dict[str | None, int] = {}
     for k in late:
         after[k] = last
@@ -151,9 +212,8 @@ def mix(
     late_from = F.lit(None).cast("long")
     for k, at in after.items():
         late_from = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(at)).otherwise(late_from)
-    slot = F.when(F.col("slots") > 0, F.expr(f"(block - 1) div greatest(slots, 1) * {length} + at")).otherwise(late_from + F.col("block") - 1)
-    release = F.when(F.col("slots") > 0, F.expr(f"(block - 1) * {length} div greatest(slots, 1)")).otherwise(slot)
-    deadline = F.when(F.col("slots") > 0, F.expr(f"(block * {length} + greatest(slots, 1) - 1) div greatest(slots, 1)")).otherwise(slot + 1)
+    slot = F.coalesce("at", late_from + F.col("block") - 1)
+    release, deadline = F.coalesce("release", slot), F.coalesce("deadline", slot + 1)
     timed = rows.select(
         "doc_id", "source", "n_chars", "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "bucket",
         "in_bucket", "spread")
@@ -166,12 +226,17 @@ def _bucket(spread: str, buckets: int) -> Column:
     return F.floor((F.col(spread).cast("double") / 2.0**64 + 0.5) * buckets).cast("long")
 
 
+def order_of(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """_id, _at (slot and place): the first place of each id in the mix, written to the shared folder."""
+    order = mix(docs, id_column=id_column, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
+    return materialize(order.select(F.col("doc_id").alias("_id"), "_at"), "mix")
+
+
 def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """All rows of ``docs`` with their own columns, range-partitioned and sorted by their place in the mix.
 
     Rows of a repeated id take the first place of that id.
     """
-    order = mix(docs, id_column=id_column, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    order = materialize(order.select(F.col("doc_id").alias("_id"), "_at"), "mix")
+    order = order_of(docs, id_column, **options)
     placed = docs.join(order, docs[id_column].cast("long").eqNullSafe(order["_id"]))
     return placed.repartitionByRange("_at", "_id").sortWithinPartitions("_at", "_id").select(*[docs[c] for c in docs.columns])
