@@ -23,6 +23,7 @@ from wardline.llm.tokens import encoder
 
 CAPACITY = 4096
 END = 2
+SLOTS_OF_WORKER = 256
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()),
@@ -61,20 +62,26 @@ def pieces(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
     return chosen.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(step, _PIECES_DDL)
 
 
-def pack(cuts: DataFrame, capacity: int = CAPACITY, workers: int = 0) -> DataFrame:
+def pack(cuts: DataFrame, capacity: int = CAPACITY, workers: int = 0, slots_of_worker: int = SLOTS_OF_WORKER) -> DataFrame:
     """Place pieces: adds sequence_id and offset.
 
     Rows are dealt to workers by a hash of the piece, numbered by class inside
-    each worker, and every k in a row make a bin.  With m left over, the piece
+    each worker, and every k in a row make a bin.  If ``cuts`` has _at (slot and
+    place in a mix), a worker is a range of slots instead and numbers its pieces
+    in their order, so sequence ids follow the mix range by range.  With m left over, the piece
     numbered t belongs to the sequence of 2**b pieces, b the highest bit in
     which t and m differ: so m's binary digits are the sequences' sizes.
     """
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
-    workers = workers or partition_count(cuts)
-    dealt = cuts.withColumn("worker", F.pmod(F.xxhash64("row_key", F.expr("start div 1048576")), F.lit(workers)))
+    mixed = "_at" in cuts.columns
+    if mixed:
+        dealt = cuts.withColumn("worker", F.expr(f"_at.slot div {slots_of_worker}"))
+    else:
+        workers = workers or partition_count(cuts)
+        dealt = cuts.withColumn("worker", F.pmod(F.xxhash64("row_key", F.expr("start div 1048576")), F.lit(workers)))
     group = W.partitionBy("worker", "length")
-    numbered = dealt.withColumn("n", F.row_number().over(group.orderBy("doc_id", "row_key", "start")) - 1).withColumn(
+    numbered = dealt.withColumn("n", F.row_number().over(group.orderBy(*["_at"] * mixed, "doc_id", "row_key", "start")) - 1).withColumn(
         "rows", F.count("*").over(group))
     k = F.expr(f"{capacity} div length")
     placed = numbered.withColumn("k", k).withColumn("t", F.col("n") % F.col("k")).withColumn("full", F.expr("rows div k")).withColumn(
@@ -93,11 +100,18 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, workers: int = 0) -> DataFra
         sequence.alias("sequence_id"), ((F.col("t") - F.col("first")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY,
+    order: DataFrame | None = None, slots_of_worker: int = SLOTS_OF_WORKER,
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece.
 
     A null or empty text is one piece with the end id alone; rows without an id
     are left out; rows that repeat an id are documents of their own; an empty
-    table gives no row.
+    table gives no row.  With ``order`` (_id, _at of every id, see
+    :func:`mixing.order_of`) sequences are numbered along the mix.
     """
-    return pack(pieces(docs, vocabulary, id_column, text_column, capacity), capacity)
+    cuts = pieces(docs, vocabulary, id_column, text_column, capacity)
+    if order is not None:
+        cuts = cuts.join(order, cuts["doc_id"] == order["_id"]).drop("_id")
+    return pack(cuts, capacity, slots_of_worker=slots_of_worker)
