@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import common, cross_entropy, harmonic, language, line_crf, mixing, nn_descent, rans, simhash, span_dedup, topk
+from wardline.llm import (
+    common, cross_entropy, filter_audit, harmonic, language, line_crf, mixing, nn_descent, rans, simhash, span_dedup, topk, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +83,28 @@ def _(spark, sf_dir):
     """Wanted: documents labelled of good quality and not toxic."""
     wanted = common.table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
     return cross_entropy.cross_entropy_difference(common.documents(spark, sf_dir), wanted)
+
+
+@query("op11_filter_interactions")
+def _(spark, sf_dir):
+    return filter_audit.filter_interactions(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_interactions"] = filter_audit.oracle()
+
+
+@query("op12_incremental_whitening")
+def _(spark, sf_dir):
+    return whitening.digest(whitening.whiten(common.table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_warc_salvage")
+def _(spark, sf_dir):
+    """Archives below the shared folder, read back; they stay there for the folder's lifetime rule."""
+    path = common.workspace(spark, "warc")
+    common.small_batches(spark)
+    warc.write_archives(common.table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read_archives(spark, path, with_payload=False))
+
+
+ORACLES["op13_warc_salvage"] = warc.oracle()
