@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from itertools import permutations
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,20 +142,32 @@ def audit(rows: DataFrame, failing: Mapping[str, DataFrame]) -> DataFrame:
     plan = F.from_json(
         F.lit(json.dumps([dict(zip(names, s, strict=True)) for s in steps])),
         "array<struct<step int, filter_order string, filter string, before int, after int, alone int, others int, all int>>")
-    lines = survivors(rows, failing).select("*", F.explode(plan).alias("at")).select("part", "kept", "good", "toxic", "at.*")
+    counted = survivors(rows, failing).select("*", _shapley(letters))
+    lines = counted.select("*", F.explode(plan).alias("at")).select(*counted.columns, "at.*")
 
     def after(counts: str, filters: str) -> Column:
         return F.get(F.col(counts), F.col(filters))
 
     removed = after("kept", "before") - after("kept", "after")
-    by_step = lines.select(
-        "part", "filter_order", "step", "filter", after("kept", "after").alias("kept"), removed.alias("removed"),
+    return lines.select(
+        "part", "filter_order", "step", after("kept", "after").alias("kept"), removed.alias("removed"),
         (F.get("kept", F.lit(0)) - after("kept", "alone") - removed).alias("redundant"),
         (after("kept", "others") - after("kept", "all")).alias("unique_fails"),
-        *[(after(c, "before") - after(c, "after")).alias(f"{c}_lost") for c in LABELS])
-    shares = by_step.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
-    return by_step.join(shares, ["part", "filter"]).select(
-        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+        *[(after(c, "before") - after(c, "after")).alias(f"{c}_lost") for c in LABELS],
+        F.element_at("shapley", F.col("filter")).alias("shapley"))
+
+
+def _shapley(letters: Sequence[str]) -> Column:
+    """Removals by each filter summed over all orders: a set of s filters comes before it in s! (k - 1 - s)! of them."""
+    terms = []
+    for k, f in enumerate(letters):
+        sets = [s for s in range(1 << len(letters)) if not s >> k & 1]
+        weights = [factorial(s.bit_count()) * factorial(len(letters) - 1 - s.bit_count()) for s in sets]
+        runs = F.from_json(F.lit(json.dumps([[s, s | 1 << k, w] for s, w in zip(sets, weights, strict=True)])), "array<array<int>>")
+        total = F.aggregate(
+            runs, F.lit(0).cast("long"), lambda done, t: done + (F.get("kept", F.get(t, F.lit(0))) - F.get("kept", F.get(t, F.lit(1)))) * F.get(t, F.lit(2)))
+        terms += [F.lit(f), total]
+    return F.create_map(*terms).alias("shapley")
 
 
 def filter_interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
