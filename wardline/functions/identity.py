@@ -31,42 +31,93 @@ def stable_identity(prefix: str, content: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(content, 256), 1, 20))
 
 
-def _leading_bits(hash_column: str) -> Column:
-    return F.conv(F.substring(F.col(hash_column), 1, 15), 16, 10).cast("bigint")
+# --- multisets of rows -------------------------------------------------------------------------------------------
+# A multiset's hash is the sum of its rows' SHA-256, taken as four words of 64 bits which are each summed modulo 2**64.
+# Sums over parts add up, and what has left a set is subtracted again, so no row is ever read twice for it.
+
+WORDS = 4
+EMPTY_SUM = "0" * 16 * WORDS
+
+
+def _word(hash_column: Column, k: int) -> Column:
+    return F.conv(F.substring(hash_column, 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")
+
+
+def _joined_words(words: Sequence[Column]) -> Column:
+    """Whole numbers (of any sign) modulo 2**64, as 64 hex digits."""
+    modulus = F.lit(str(2**64)).cast("decimal(20,0)")
+    return F.concat(*[
+        F.lower(F.lpad(F.conv(F.pmod(w, modulus).cast("string"), 10, 16), 16, "0")) for w in words])
+
+
+def multiset_sum(hash_column: Column | str, sign: Column | int = 1) -> Column:
+    """Aggregate: the sum of 64-digit hashes (of rows, or of multisets), each added or, with ``sign`` -1, subtracted."""
+    column = F.col(hash_column) if isinstance(hash_column, str) else hash_column
+    factor = sign if isinstance(sign, Column) else F.lit(sign)
+    return _joined_words([F.coalesce(F.sum(_word(column, k) * factor), F.lit(0).cast("decimal(38,0)")) for k in range(WORDS)])
+
+
+def multiset_add(left: Column, right: Column) -> Column:
+    return _joined_words([_word(left, k) + _word(right, k) for k in range(WORDS)])
+
+
+def multiset_subtract(left: Column, right: Column) -> Column:
+    return _joined_words([_word(left, k) - _word(right, k) for k in range(WORDS)])
 
 
 def checksum_columns(hash_column: str = RECORD_HASH) -> list[Column]:
-    """Aggregates that depend on the set of rows, not on their order or partitioning."""
-    bits = _leading_bits(hash_column)
-    return [
-        F.count("*").alias("row_count"),
-        F.coalesce(F.sum(bits.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-        F.coalesce(F.bit_xor(bits), F.lit(0)).alias("hash_xor"),
-    ]
+    """Aggregates that depend on the multiset of rows, not on their order or partitioning: row_count and hash_sum."""
+    return [F.count("*").alias("row_count"), multiset_sum(hash_column).alias("hash_sum")]
 
 
 def content_checksum(df: DataFrame, hash_column: str = RECORD_HASH) -> DataFrame:
-    """One row: row_count, hash_sum, hash_xor of the stored record hashes."""
+    """One row: row_count and hash_sum (all 256 bits, as 64 hex digits) of the stored record hashes."""
     return df.agg(*checksum_columns(hash_column))
 
 
+def merged_checksums(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Checksums of unions: row_count and hash_sum of parts that hold no row twice, added up for each ``by``."""
+    return parts.groupBy(*by).agg(F.sum("row_count").alias("row_count"), multiset_sum("hash_sum").alias("hash_sum"))
+
+
+def number_text(column: Column) -> Column:
+    """A double as exact text that any engine can write alike: whole part and two pieces of 53 bits of the fraction.
+
+    Engines print doubles in forms of their own.  The pieces are exact for all
+    of 2**-54 and more (zeros of both signs are one); from 2**63 on, where no
+    whole part fits, and for values that are no numbers, Spark's form is used.
+    """
+    whole = F.floor(column)
+    fraction = column - whole.cast("double")
+    high = F.floor(fraction * 2.0**53)
+    low = F.floor((fraction * 2.0**53 - high.cast("double")) * 2.0**53)
+    pieces = F.concat_ws("+", whole.cast("string"), high.cast("string"), low.cast("string"))
+    return F.when(F.abs(column) < 2.0**63, pieces).otherwise(column.cast("string"))
+
+
+def logical_line(df: DataFrame, entity: str) -> Column:
+    """A row's text for hashes that engines share: the entity, then the fields as sorted JSON with doubles as ``number_text``."""
+    fields = [number_text(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in sorted(df.dtypes)]
+    return F.concat(F.lit(f"{entity}:"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
 def hashed(df: DataFrame, columns: Sequence[str] | None = None, out: str = RECORD_HASH) -> DataFrame:
     return df.withColumn(out, record_hash(columns or df.columns))
 
 
 def dataset_logical_hash(tables: Mapping[str, DataFrame], entities: Sequence[str] | None = None) -> DataFrame:
     """One checksum over all entities; a row's hash also covers the entity's name."""
+    return merged_checksums(entity_hashes(tables, entities))
+
+
+def entity_hashes(tables: Mapping[str, DataFrame], entities: Sequence[str] | None = None) -> DataFrame:
+    """(entity, row_count, hash_sum) of each entity; they add up to the dataset's."""
     parts = []
     for entity in entities or list(tables):
         frame = tables[entity]
-        line = F.concat(F.lit(f"{entity}:"), canonical_json(frame.columns))
-        parts.append(frame.select(F.sha2(line, 256).alias(RECORD_HASH)).agg(*checksum_columns()))
-    merged = union_all(parts)
-    return merged.agg(
-        F.sum("row_count").alias("row_count"),
-        F.sum(F.col("hash_sum").cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-        F.bit_xor("hash_xor").alias("hash_xor"),
-    )
+        hashes = frame.select(F.sha2(logical_line(frame, entity), 256).alias(RECORD_HASH))
+        parts.append(hashes.agg(*checksum_columns()).select(F.lit(entity).alias("entity"), "row_count", "hash_sum"))
+    return union_all(parts)
 
 
 # Logical fields that identify a dataset manifest; timestamps and load events do not take part.

@@ -206,7 +206,7 @@ def duplicate_source_objects(objects: DataFrame, column: str = "object_id") -> D
 
 def input_checksums(registered: DataFrame, actual: DataFrame) -> DataFrame:
     """Objects whose content no longer has the registered checksum, or that are gone."""
-    keys = ["entity", "row_count", "hash_sum", "hash_xor"]
+    keys = ["entity", "row_count", "hash_sum"]
     changed = registered.select(*keys).join(actual.select(*keys), keys, "left_anti")
     return changed.groupBy().agg(F.count("*").alias("violations")).select(
         *_result(F.lit("input_checksums"), F.lit(None).cast("string"), F.col("violations")))

@@ -13,7 +13,7 @@ from wardline import schemas
 from wardline.functions import identity as ident
 from wardline.functions import text as tx
 from wardline.functions.local import local_table, union_all
-from wardline.operators import compare, derive, layers, privacy, quality, registry, stats
+from wardline.operators import compare, derive, hash_tree, layers, privacy, quality, registry, stats
 from wardline.operators.neighbours import id_block, neighbours
 from wardline.plans import catalogue as cat
 from wardline.plans import inputs, lake_run, metrics, questions, views
@@ -237,12 +237,12 @@ def _(tables):
     return ident.content_checksum(ident.hashed(layers.as_iso_text(tables["encounter_procedures"])))
 
 
-_HASHED_ENTITIES = ("patients", "hospitals", "providers", "encounter_diagnoses", "encounter_procedures", "readmissions")
-
-
 @query("dataset_logical_hash")
 def _(tables):
-    return ident.dataset_logical_hash({e: layers.as_iso_text(tables[e]) for e in _HASHED_ENTITIES})
+    """The dataset's line (entity null) and that of each of its entities."""
+    parts = storage.materialize(ident.entity_hashes({e: layers.as_iso_text(tables[e]) for e in tables}), "hashes")
+    whole = ident.merged_checksums(parts).select(F.lit(None).cast("string").alias("entity"), "row_count", "hash_sum")
+    return parts.unionByName(whole)
 
 
 @query("stable_identity")
@@ -550,14 +550,33 @@ def _(tables):
         "run_id", "manifest_id", "dataset_id", "depth", "lake_node_id")
 
 
+def _edited(tables: ClinicalTables) -> dict[str, DataFrame]:
+    """All entities, four of them with planted changes: moved days, other values, lost rows, rows of new keys."""
+    after = {e: layers.as_iso_text(tables[e]) for e in tables}
+    after["encounter_procedures"] = layers.as_iso_text(tables["encounter_procedures"].withColumn(
+        "procedure_date", F.when(F.col("procedure_id") == 3, F.date_add("procedure_date", 1)).otherwise(F.col("procedure_date"))))
+    after["encounters"] = after["encounters"].withColumn(
+        "total_cost", F.when(F.col("encounter_id") % 97 == 1, F.col("total_cost") + 0.25).otherwise(F.col("total_cost")))
+    after["lab_results"] = after["lab_results"].where(F.col("encounter_id") % 89 != 1)
+    added = after["patients"].where("patient_id % 83 = 1").withColumn("patient_id", F.col("patient_id") + 1_000_000_000)
+    after["patients"] = after["patients"].unionByName(added)
+    return after
+
+
 @query("snapshot_diff")
 def _(tables):
-    bridge = tables["encounter_procedures"]
-    moved = bridge.withColumn("procedure_date", F.when(F.col("procedure_id") == 3, F.date_add("procedure_date", 1)).otherwise(
-        F.col("procedure_date")))
-    left = {"encounter_procedures": layers.as_iso_text(bridge), "providers": tables["providers"]}
-    right = {"encounter_procedures": layers.as_iso_text(moved), "providers": tables["providers"]}
-    return compare.snapshot_diff(left, right)
+    return compare.snapshot_diff({e: layers.as_iso_text(tables[e]) for e in tables}, _edited(tables))
+
+
+@query("snapshot_tree_diff")
+def _(tables):
+    """Stored before and after the changes; entities without any are compared by their roots alone."""
+    before = {e: layers.as_iso_text(tables[e]) for e in tables}
+    buckets = hash_tree.layout(before)
+    left, right = (
+        hash_tree.write_snapshot(t, storage.workspace(tables.spark, "keyed"), schemas.ENTITY_KEYS, buckets)
+        for t in (before, _edited(tables)))
+    return hash_tree.diff(left, right)
 
 
 @query("parity_report")
