@@ -10,6 +10,7 @@ on there, and logs the bytes between as quarantined.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +32,7 @@ DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC, _MARK, _LINE, _BLANK = b"\x1f\x8b\x08", b"WARC/", b"\r\n", b"\r\n\r\n"
+_VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 MOST_HEADER = 1 << 20
 
 
@@ -252,12 +254,9 @@ def _whole(data: bytes, at: int) -> list[Found]:
 
 
 def _next_start(raw: bytes, at: int) -> int:
-    """The next place after ``at`` where a member or a version line at the start of a line may begin; the end without one."""
-    member = raw.find(_MAGIC, at)
-    line = raw.find(_MARK, at)
-    while line > 0 and raw[line - 1] != 10:
-        line = raw.find(_MARK, line + 1)
-    return min([x for x in (member, line) if x >= 0], default=len(raw))
+    """The next place from ``at`` on where a member or a version line may begin; the end without one."""
+    member, line = raw.find(_MAGIC, at), _VERSION_LINE.search(raw, at)
+    return min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(raw))
 
 
 def salvage_bytes(raw: bytes) -> Iterator[Found]:
@@ -358,7 +357,7 @@ def resolved(found: DataFrame) -> DataFrame:
     """Records with revisits given the payload of the response they refer to (null if it is not among them)."""
     whole = records(found)
     held = whole.where("record_type = 'response'").select(F.col("record_id").alias("held_id"), F.col("payload").alias("held")).dropDuplicates(["held_id"])
-    joined = whole.withColumn("held_id", F.when(F.col("record_type") == "revisit", F.get("fields", F.lit("warc-refers-to")))).join(held, "held_id", "left")
+    joined = whole.withColumn("held_id", F.when(F.col("record_type") == "revisit", F.col("fields").getItem("warc-refers-to"))).join(held, "held_id", "left")
     return joined.withColumn("payload", F.coalesce("held", F.when(F.col("record_type") != "revisit", F.col("payload")))).drop("held", "held_id")
 
 
