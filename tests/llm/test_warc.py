@@ -103,7 +103,7 @@ def test_salvage(compressed):
     assert read(whole[: places[2]] + b"garbage \x1f\x8b\x08 WARC/1.1 more\n" + whole[places[2] :])[0] == [0, 1, 2, 3, 4]
     middle = places[2] + len(parts[2]) // 2
     assert read(whole[:middle] + whole[middle + 30 :])[0] == [0, 1, 3, 4]
-    assert read(whole[: places[1] + 40] + whole[places[3] + 40 :])[0] == [0, 4]  # two damaged ones side by side: one gap
+    assert read(whole[: middle - len(parts[1])] + whole[middle + len(parts[2]) + 10 :])[0] == [0, 4]  # two damaged ones side by side: one gap
     assert read(b"\0" * 1000) == ([], [(0, 1000, "no version line")])
     assert read(b"") == ([], [])
 
