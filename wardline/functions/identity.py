@@ -65,6 +65,11 @@ def multiset_subtract(left: Column, right: Column) -> Column:
     return _joined_words([_word(left, k) - _word(right, k) for k in range(WORDS)])
 
 
+def added_sums(left: str, right: str) -> str:
+    """``multiset_add`` of two known sums."""
+    return "".join(f"{(int(left[k : k + 16], 16) + int(right[k : k + 16], 16)) % 2**64:016x}" for k in range(0, 16 * WORDS, 16))
+
+
 def checksum_columns(hash_column: str = RECORD_HASH) -> list[Column]:
     """Aggregates that depend on the multiset of rows, not on their order or partitioning: row_count and hash_sum."""
     return [F.count("*").alias("row_count"), multiset_sum(hash_column).alias("hash_sum")]

@@ -32,10 +32,14 @@ def bucket_of(keys: Sequence[str | Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def buckets_for(rows: int, rows_in_bucket: int = ROWS_IN_BUCKET) -> int:
+    return min(MOST_BUCKETS, 1 << max(0, -(-rows // rows_in_bucket) - 1).bit_length())
+
+
 def layout(tables: Mapping[str, DataFrame], rows_in_bucket: int = ROWS_IN_BUCKET) -> dict[str, int]:
     """Number of buckets of each entity: a power of two, from its rows today; it then stays as it is."""
     counts = union_all([f.agg(F.count("*").alias("n")).withColumn("entity", F.lit(e)) for e, f in tables.items()]).collect()
-    return {r["entity"]: min(MOST_BUCKETS, 1 << max(0, -(-r["n"] // rows_in_bucket) - 1).bit_length()) for r in counts}
+    return {r["entity"]: buckets_for(r["n"], rows_in_bucket) for r in counts}
 
 
 def depth(buckets: int) -> int:

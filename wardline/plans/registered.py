@@ -17,6 +17,7 @@ from wardline.operators import compare, derive, hash_tree, layers, privacy, qual
 from wardline.operators.neighbours import id_block, neighbours
 from wardline.plans import catalogue as cat
 from wardline.plans import inputs, lake_run, metrics, questions, views
+from wardline.plans.incremental import IncrementalLake, batch_rows
 from wardline.sources import lines, storage
 from wardline.sources.star import ClinicalTables
 from wardline.streaming.ingest import ingest_lines
@@ -364,11 +365,39 @@ def _(tables):
 
 @query("layered_run")
 def _(tables):
-    lake, paths = _lake(tables, list(tables))
-    done = lake.run(paths, "clinical", "batch-1")
+    """All entities; the encounters' drop also holds broken lines, lines with a text for a cost, and repeated ones."""
+    lake = lake_run.Lake(
+        tables.spark, storage.workspace(tables.spark, "lake"), max_bad_ratio=0.2, max_mistyped_ratio=0.2)
+    stays = layers.as_iso_text(tables["encounters"])
+    line, key = ident.canonical_json(stays.columns), F.col("encounter_id")
+    planted = union_all([
+        stays.where(key % 11 == 1).select(F.substring(line, 1, 40).alias("value")),
+        stays.where(key % 13 == 1).select(F.regexp_replace(line, '"total_cost":[^,}]*', '"total_cost":"much"').alias("value")),
+        stays.where(key % 17 == 1).select(line.alias("value"))])
+    done = lake.run(lake.write_batch({e: tables[e] for e in tables}, "batch-1", {"encounters": planted}), "clinical", "batch-1")
     return _layer_rows(tables, done.values())
 
 
+def _two_batches(tables: ClinicalTables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Stays of every third encounter come with a second batch, which also brings known hospitals and patients again."""
+    own = {"encounters": "encounter_id", "encounter_diagnoses": "encounter_id", "encounter_procedures": "encounter_id",
+           "lab_results": "encounter_id", "readmissions": "index_encounter_id"}
+    first = {e: tables[e].where(F.col(own[e]) % 3 != 0) if e in own else tables[e] for e in tables}
+    second = {e: tables[e].where(F.col(key) % 3 == 0) for e, key in own.items()}
+    known = tables["patients"].where("patient_id % 7 = 0").withColumn("insurance_type", F.lit("changed later"))
+    return first, {**second, "hospitals": tables["hospitals"], "patients": known}
+
+
+@query("incremental_run")
+def _(tables):
+    """Two batches on top of each other: what each adds to every entity of every layer."""
+    lake = IncrementalLake(tables.spark, storage.workspace(tables.spark, "chain"))
+    first, second = _two_batches(tables)
+    base = lake.apply(lake.write_batch(first, "batch-1"), "clinical", "batch-1")
+    done = lake.apply(lake.write_batch(second, "batch-2"), "clinical", "batch-2", parent=base["gold"].snapshot_id)
+    return batch_rows(lake, done)
+
+
 # --- gates -------------------------------------------------------------------------------------------------------
 
 
@@ -467,10 +496,10 @@ def _(tables):
 
 @query("snapshot_publish")
 def _(tables):
-    lake, paths = _lake(tables, ["providers", "hospitals"])
+    lake, paths = _lake(tables, list(tables))
     lake.publish_raw(paths, "clinical", "batch-1")
-    second = lake.write_batch({"providers": tables["providers"], "hospitals": tables["hospitals"]}, "batch-2")
-    lake.publish_raw({"providers": second["providers"]}, "clinical", "batch-2")
+    second = lake.write_batch({"providers": tables["providers"].where("provider_id % 2 = 0")}, "batch-2")
+    lake.publish_raw({**paths, **second}, "clinical", "batch-2")
     history = registry.snapshot_history(lake.snapshots())
     rows = lake.manifests().groupBy("manifest_id").agg(F.sum("row_count").alias("row_count"))
     return history.join(lake.snapshots().select("snapshot_id", "manifest_id", "batch_id"), "snapshot_id").join(
@@ -581,12 +610,17 @@ def _(tables):
 
 @query("parity_report")
 def _(tables):
-    before, paths = _lake(tables, ["patients", "encounters", "hospitals", "quality_measures"])
+    """Two lakes over all entities, the second with other hospitals and repeated lines of diagnoses."""
+    before, paths = _lake(tables, list(tables))
     before.run(paths, "clinical", "batch-1")
     after = lake_run.Lake(tables.spark, storage.workspace(tables.spark, "lake"))
-    after.run(after.write_batch({e: tables[e].repartition(3) for e in paths}, "batch-1"), "clinical", "batch-1")
+    hospitals = tables["hospitals"].withColumn("bed_count", F.col("bed_count") + (F.col("hospital_id") % 5 == 0).cast("int"))
+    codes = tables["diagnoses"].where("diagnosis_id % 2 = 0")
+    repeated = codes.select(ident.canonical_json(codes.columns).alias("value"))
+    drop = after.write_batch({**{e: tables[e] for e in paths}, "hospitals": hospitals}, "batch-1", {"diagnoses": repeated})
+    after.run(drop, "clinical", "batch-1")
     report = compare.parity_report(lake_run.layer_equalities(before, after))
-    return report.select("layer", "checks", "unequal", "passed")
+    return report.select("layer", "checks", "unequal", "passed", F.array_join("failed_checks", ",").alias("failed_checks"))
 
 
 @query("numeric_tolerance_compare")
