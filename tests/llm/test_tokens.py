@@ -16,7 +16,6 @@ BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_b
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,6 +33,32 @@ def test_pieces_equal_whole_texts(path):
             assert ids[a:b].tolist() == encode(text), repr(text)
 
 
+def thue_morse(length):
+    """A string and its complement, which polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [bin(n).count("1") % 2 for n in range(length)]
+    return ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_are_told_apart_by_their_bytes(path):
+    encoder, encode = tokens.PieceEncoder(path), library(path)
+    for texts in (thue_morse(2048), [" " + t for t in thue_morse(4096)], [t + "1" for t in thue_morse(1024)]):
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in encode(t)] and sizes.tolist() == [len(encode(t)) for t in texts]
+        for t in reversed(texts):  # across batches as well
+            assert encoder.encode(pa.array([t]))[0].tolist() == encode(t)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_strings_of_added_tokens(path):
+    """The library gives them their own ids wherever they stand, and so do pieces."""
+    encode = library(path)
+    texts = ["a <|endoftext|> b", "plain text, as ever", "x<|endoftext|>", "<|endoftext|><|endoftext|>", None, "", "<|endoftext |>", "<|startoftext|> a.b c"]
+    ids, sizes = tokens.PieceEncoder(path).encode(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [len(encode(t)) for t in texts] and ids.tolist() == [i for t in texts for i in encode(t)]
+    assert (ids >= 49406).any()
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 3)
     encoder, encode = tokens.PieceEncoder(BYTES), library(BYTES)

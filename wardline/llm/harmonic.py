@@ -11,6 +11,7 @@ are powers of two, which need no padding either.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +43,19 @@ def pieces(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
         tokens = encoder(vocabulary)
         for part in rows_of_batches(batches, size=1 << 20):
             ids, counts = tokens.encode(part["text"])
-            doc_ids = np.asarray(part["doc_id"].combine_chunks())
-            keys = np.asarray(part["row_key"].combine_chunks())
-            out: list[list] = [[] for _ in range(6)]
-            at = 0
-            for doc, key, n in zip(doc_ids.tolist(), keys.tolist(), counts.tolist(), strict=True):
-                whole = np.append(ids[at : at + n], END).astype("<u4").tobytes()
-                at += n
-                start = 0
-                for size in cut(n + 1, capacity):
-                    crc = zlib.crc32(whole[4 * start : 4 * (start + size)])
-                    for column, value in zip(out, (doc, key, start, size, crc, n + 1), strict=True):
-                        column.append(value)
-                    start += size
-            yield emit(_PIECES, **dict(zip(_PIECES.names, out, strict=True)))
+            tokens_of = counts + 1
+            whole = memoryview(np.insert(ids, np.cumsum(counts), END).astype("<u4").tobytes())
+            sizes = [cut(n, capacity) for n in tokens_of.tolist()]
+            per_doc = np.fromiter(map(len, sizes), np.int64, len(sizes))
+            length = np.fromiter(chain.from_iterable(sizes), np.int64, int(per_doc.sum()))
+            ends = np.cumsum(length)
+            at = (ends - length).tolist()
+            crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(at, ends.tolist(), strict=True)]
+            of = np.repeat(np.arange(len(sizes)), per_doc)
+            first = np.cumsum(tokens_of) - tokens_of
+            yield emit(
+                _PIECES, doc_id=np.asarray(part["doc_id"].combine_chunks())[of], row_key=np.asarray(part["row_key"].combine_chunks())[of],
+                start=ends - length - first[of], length=length.astype(np.int32), ids_crc32=crc, doc_tokens=tokens_of[of])
 
     text = F.col(f"`{text_column}`").cast("string")
     chosen = docs.select(long_id(id_column, "doc_id"), text.alias("text")).where("doc_id IS NOT NULL")
