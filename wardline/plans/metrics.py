@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,42 +14,40 @@ from wardline.plans.views import Tables, assessed_encounters, length_of_stay, ra
 GROUPINGS = ("hospital", "urban_rural", "quarter", "year", "diagnosis")
 MINIMUM_SAMPLE = 10
 
-# The metric definitions (name, numerator, denominator, eligibility, unit, null handling, caveats).
+#: metric -> name, numerator, denominator, eligibility, unit, what nulls do, what to bear in mind.
+#: Name, eligibility and unit.
 DEFINITIONS = {
     "readmission_30d_rate": (
-        "30-day readmission rate", "eligible inpatient encounters readmitted within 30 days",
-        "eligible inpatient encounters", "inpatient index encounters with readmission assessment", "proportion",
-        "exclude unknown assessment", "Synthetic, unadjusted rate."),
+        "30-day readmission rate", "assessed stays followed by another one after 0 to 30 days", "assessed stays",
+        "inpatient index encounters with readmission assessment", "proportion", "a stay without assessment is not counted",
+        "planned returns count like others; case mix is not taken into account"),
     "mortality_rate": (
-        "mortality rate", "encounters with mortality_flag=1", "eligible encounters", "all encounters", "proportion",
-        "flags are non-null", "Not risk adjusted."),
+        "mortality rate", "encounters whose mortality flag is 1", "encounters", "all encounters", "proportion",
+        "a null flag adds nothing to the numerator", "compares groups of different severity as they are"),
     "complication_rate": (
-        "complication rate", "encounters with complication_flag=1", "eligible encounters", "all encounters",
-        "proportion", "flags are non-null", "Not risk adjusted."),
+        "complication rate", "encounters whose complication flag is 1", "encounters", "all encounters", "proportion",
+        "a null flag adds nothing to the numerator", "compares groups of different severity as they are"),
     "avg_los": (
-        "average length of stay", "sum valid discharge-admission days", "discharged inpatient encounters",
-        "valid nonnegative stay", "days", "exclude missing discharge", "Sensitive to outliers."),
+        "average length of stay", "days from admission to discharge, added up", "inpatient stays with both days",
+        "valid nonnegative stay", "days", "open stays and reversed days are left out", "a few long stays weigh heavily"),
     "median_los": (
-        "median length of stay", "median valid discharge-admission days", "discharged inpatient encounters",
-        "valid nonnegative stay", "days", "exclude missing discharge",
-        "Exact median from counts per distinct day value."),
+        "median length of stay", "middle of the days from admission to discharge", "inpatient stays with both days",
+        "valid nonnegative stay", "days", "open stays and reversed days are left out", "exact: stays are counted for each number of days"),
     "emergency_conversion_rate": (
-        "emergency admission conversion rate", "emergency encounters resulting in inpatient admission",
-        "emergency encounters", "emergency encounters", "proportion", "exclude unknown disposition",
-        "Synthetic encounter model uses disposition proxy."),
+        "emergency admission conversion rate", "emergency encounters that did not end at home",
+        "emergency encounters with a disposition", "emergency encounters", "proportion", "no disposition, no count",
+        "stands in for admissions, which are not recorded as such"),
     "avg_cost": (
-        "average encounter cost", "sum total_cost", "encounters with cost", "non-null nonnegative cost", "currency",
-        "exclude missing costs", "Unadjusted synthetic charges."),
+        "average encounter cost", "costs added up", "encounters with a cost", "non-null nonnegative cost", "currency",
+        "encounters without cost and negative costs are left out", "charges as recorded, without adjustment"),
     "total_cost": (
-        "total encounter cost", "sum total_cost", "not applicable", "non-null nonnegative cost", "currency",
-        "exclude missing costs", "Synthetic charges, not reimbursements."),
+        "total encounter cost", "costs added up", "none", "non-null nonnegative cost", "currency",
+        "encounters without cost and negative costs are left out", "charges as recorded, not what was paid"),
     "encounter_volume": (
-        "encounter volume", "count encounters", "not applicable", "all encounters", "count", "not applicable",
-        "Counts encounters, not unique patients."),
+        "encounter volume", "encounters", "none", "all encounters", "count", "nothing can be null", "a patient counts once for each encounter"),
     "diagnosis_prevalence": (
-        "diagnosis prevalence", "encounters with diagnosis", "eligible encounters", "encounters in cohort",
-        "proportion", "exclude missing diagnosis",
-        "Control primary versus any-position diagnoses explicitly."),
+        "diagnosis prevalence", "encounters that carry the diagnosis", "encounters", "encounters in cohort", "proportion",
+        "encounters without diagnosis stay in the denominator", "say whether only the primary diagnosis counts"),
 }
 
 

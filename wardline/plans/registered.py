@@ -16,7 +16,7 @@ from wardline.functions.local import local_table, union_all
 from wardline.operators import compare, derive, hash_tree, layers, privacy, quality, registry, stats
 from wardline.operators.neighbours import id_block, neighbours
 from wardline.plans import catalogue as cat
-from wardline.plans import inputs, lake_run, metrics, questions, views
+from wardline.plans import inputs, lake_run, mart_cells, metrics, questions, views
 from wardline.plans.incremental import IncrementalLake, batch_rows
 from wardline.sources import lines, storage
 from wardline.sources.star import ClinicalTables
@@ -350,6 +350,16 @@ def _(tables):
     return metrics.read_marts(tables.spark, path)
 
 
+@query("incremental_marts")
+def _(tables):
+    """Marts from the stored cells of two batches, the second of which brings stays, codes and assessments of its own."""
+    path = storage.workspace(tables.spark, "cells")
+    first, second = _two_batches(tables)
+    mart_cells.append_cells(mart_cells.batch_cells(first), path, "1")
+    mart_cells.append_cells(mart_cells.batch_cells(second, first), path, "2")
+    return mart_cells.marts(mart_cells.stored_cells(tables.spark, path), tables)
+
+
 @query("layer_transition_check")
 def _(tables):
     """Steps between the successive layers each user touches, allowed or not."""
