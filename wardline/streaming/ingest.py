@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from wardline.operators.layers import first_per_key
 from wardline.sources.lines import parse_lines
-from wardline.sources.storage import materialize, path_exists
 
+#: Keys of all times are kept on disk by each state partition; a trigger saves what it has added, not the whole.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-KEY_PARTS = 256
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    for k, v in KEYED_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest_lines(
@@ -25,53 +41,43 @@ def ingest_lines(
     keys: Sequence[str],
     day_column: str,
     files_per_trigger: int | None = None,
-    key_parts: int = KEY_PARTS,
-) -> None:
-    """Take every new file once and append rows with unseen keys to ``target``.
-
-    Each micro-batch writes its own folder, overwritten if the batch is retried,
-    so a restart neither loses nor doubles rows, and no row is dropped for being
-    late.  Keys seen before stand in ``<target>_keys``, laid out by hash, of which
-    a batch reads the parts that its own keys fall into.  Malformed lines, and
-    objects whose key is missing or of another type, go to ``<target>_rejected``.
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Take every new file once and append rows with unseen keys to ``target``; returns when all files are taken.
+
+    The keys of all earlier rows are the stream's state, dealt out by key over
+    the shuffle partitions of the first start: a trigger looks up its own keys
+    and saves the new ones, whatever has come before, and no row is dropped for
+    being late.  Of rows that share a key inside one trigger any one is kept.
+    Each micro-batch writes its own folder, overwritten if the batch is retried
+    from the state before it, so a restart neither loses nor doubles rows.
+    Malformed lines, and objects whose key is missing or of another type, go to
+    ``<target>_rejected`` by a query of their own, which needs no state.  The
+    queries of both are returned, ended.
     """
-    stream = spark.readStream.format("text")
-    if files_per_trigger:
-        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
-    lines = stream.load(source).withColumnRenamed("value", "line")
-    part = F.pmod(F.xxhash64(*keys), F.lit(key_parts)).cast("int")
-
-    def take(batch: DataFrame, batch_id: int) -> None:
-        read = materialize(parse_lines(batch).select(
-            "line", F.when(F.col("is_object"), F.from_json("line", schema)).alias("row")), "micro-batch")
-        whole = reduce(Column.__and__, [F.col(f"row.{k}").isNotNull() for k in keys])
-        good = F.coalesce(whole, F.lit(False))
-        read.filter(~good).select("line").write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
-        rows = read.filter(good).select("row.*")
-        rows = first_per_key(rows, keys, [c for c in rows.columns if c not in keys]).withColumn("_part", part)
-        known = f"{target}_keys"
-        if batch_id and path_exists(batch.sparkSession, known):
-            rows = materialize(rows, "micro-batch")
-            rows = _unseen(rows, known, batch_id, keys)
-        rows = materialize(rows, "micro-batch")
-        rows.drop("_part").withColumn("_day", F.to_date(day_column)).write.mode("overwrite").partitionBy("_day").parquet(
-            f"{target}/batch={batch_id}")
-        rows.select(*keys, "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{known}/batch={batch_id}")
-
-    query = (
-        lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
-def _unseen(rows: DataFrame, known: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", _part INT, batch INT"
-    touched = [r[0] for r in rows.select("_part").distinct().collect()]  # key_parts numbers at most
-    earlier = rows.sparkSession.read.schema(schema).parquet(known).filter(
-        (F.col("batch") < batch_id) & F.col("_part").isin(touched))
-    return rows.join(earlier.select(*keys), list(keys), "left_anti").select(*rows.columns)
+    def lines() -> DataFrame:
+        stream = spark.readStream.format("text")
+        if files_per_trigger:
+            stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+        text = stream.load(source).withColumnRenamed("value", "line")
+        return parse_lines(text).select("line", F.when(F.col("is_object"), F.from_json("line", schema)).alias("row"))
+
+    whole = F.coalesce(reduce(Column.__and__, [F.col(f"row.{k}").isNotNull() for k in keys]), F.lit(False))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_day", F.to_date(day_column)).write.mode("overwrite").partitionBy("_day").parquet(f"{target}/batch={batch_id}")
+
+    def leave_out(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").text(f"{target}_rejected/batch={batch_id}")
+
+    def started(df: DataFrame, take, name: str) -> StreamingQuery:
+        return df.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+
+    with keyed_state(spark):
+        accepted = started(lines().where(whole).select("row.*").dropDuplicates(list(keys)), keep, "accepted")
+        rejected = started(lines().where(~whole).select("line"), leave_out, "rejected")
+        for query in (accepted, rejected):
+            query.awaitTermination()
+    return accepted, rejected
 
 
 def deduplicated_stream(stream: DataFrame, keys: Sequence[str], time_column: str, delay: str) -> DataFrame:
