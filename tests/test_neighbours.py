@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.derive import derive_readmissions
-from wardline.operators.neighbours import id_block, neighbours
+from wardline.operators.neighbours import hot_groups, id_block, neighbours
 
 
 @pytest.fixture(scope="module")
@@ -32,29 +32,33 @@ def expected(stays):
         "encounter_id", F.lead("encounter_id").over(window).alias("after"), F.lag("encounter_id").over(window).alias("before"))
 
 
-@pytest.mark.parametrize("partitions", [1, 17])
-def test_same_as_one_window(stays, partitions):
+@pytest.mark.parametrize("partitions, hot_rows", [(1, 0), (17, 0), (3, 20), (3, 900), (3, 10**6)])
+def test_same_as_one_window(stays, partitions, hot_rows):
+    """With every group cut, some, one, or none."""
+    assert len(hot_groups(stays, ["patient_id"], 900)) == 1
     source = stays.repartition(partitions).withColumn("_block", id_block("encounter_id", bits=3))
     found = neighbours(
         source, ["patient_id"], ["admission_date", "_block"], ["admission_date", "encounter_id"],
-        ["encounter_id", "admission_date"], "_next", "_previous",
+        ["encounter_id", "admission_date"], "_next", "_previous", hot_rows=hot_rows,
     ).select("encounter_id", F.col("_next.encounter_id").alias("after"), F.col("_previous.encounter_id").alias("before"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected(stays).collect()))
 
 
-def test_null_days_and_null_groups_are_values(spark):
+@pytest.mark.parametrize("hot_rows", [0, 3, 100])
+def test_null_days_and_null_groups_are_values(spark, hot_rows):
     rows = [(1, 1, None), (2, 1, None), (3, 1, date(2024, 1, 1)), (4, None, date(2024, 1, 1)), (5, None, None), (6, None, date(2024, 1, 3)), (7, 1, None)]
     source = spark.createDataFrame(rows, "encounter_id BIGINT, patient_id BIGINT, admission_date DATE")
     cut = source.withColumn("_block", id_block("encounter_id", bits=1))
     found = neighbours(
-        cut, ["patient_id"], ["admission_date", "_block"], ["admission_date", "encounter_id"], ["encounter_id"], "_next", "_previous",
+        cut, ["patient_id"], ["admission_date", "_block"], ["admission_date", "encounter_id"], ["encounter_id"], "_next", "_previous", hot_rows=hot_rows,
     ).select("encounter_id", F.col("_next.encounter_id").alias("after"), F.col("_previous.encounter_id").alias("before"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected(source).collect()))
     assert dict(found.select("encounter_id", "after").collect()) == {1: 2, 2: 7, 7: 3, 3: None, 5: 4, 4: 6, 6: None}
 
 
-def test_readmissions_follow_the_next_stay(stays):
-    found = {r.index_encounter_id: r for r in derive_readmissions(stays).collect()}
+@pytest.mark.parametrize("hot_rows", [900, 10**6])
+def test_readmissions_follow_the_next_stay(stays, hot_rows):
+    found = {r.index_encounter_id: r for r in derive_readmissions(stays, hot_rows=hot_rows).collect()}
     rows = {r.encounter_id: r for r in stays.collect()}
     links = {r.encounter_id: r.after for r in expected(stays).collect()}
     inpatient = [r for r in rows.values() if r.encounter_type == "inpatient"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,25 @@ def _joined_words(words: Sequence[Column]) -> Column:
 
 
 def multiset_sum(hash_column: Column | str, sign: Column | int = 1) -> Column:
-    """Aggregate: the sum of 64-digit hashes (of rows, or of multisets), each added or, with ``sign`` -1, subtracted."""
+    """Aggregate: the sum of 64-digit hashes (of rows, or of multisets), each added or, with ``sign`` -1, subtracted.
+
+    Pieces of 16 bits are summed as longs, which holds for 2**47 rows and stays
+    in primitive aggregation buffers, and put together once at the end.
+    """
     column = F.col(hash_column) if isinstance(hash_column, str) else hash_column
-    factor = sign if isinstance(sign, Column) else F.lit(sign)
-    return _joined_words([F.coalesce(F.sum(_word(column, k) * factor), F.lit(0).cast("decimal(38,0)")) for k in range(WORDS)])
+    factor = sign if isinstance(sign, Column) else None if sign == 1 else F.lit(sign)
+
+    def total(piece: Column, bits: int) -> Column:
+        summed = F.coalesce(F.sum(piece if factor is None else piece * factor), F.lit(0)).cast("decimal(38,0)")
+        return (summed * F.lit(str(1 << bits)).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+    words = []
+    for k in range(WORDS):
+        halves = [F.conv(F.substring(column, 16 * k + at, 8), 16, 10).cast("bigint") for at in (1, 9)]
+        pieces = [(F.shiftright(halves[0], 16), 48), (halves[0].bitwiseAND(F.lit(0xFFFF)), 32),
+                  (F.shiftright(halves[1], 16), 16), (halves[1].bitwiseAND(F.lit(0xFFFF)), 0)]
+        words.append(reduce(Column.__add__, [total(*p) for p in pieces]).cast("decimal(38,0)"))
+    return _joined_words(words)
 
 
 def multiset_add(left: Column, right: Column) -> Column:

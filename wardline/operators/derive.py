@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.neighbours import id_block, neighbours
+from wardline.operators.neighbours import HOT_ROWS, id_block, neighbours
 
 READMISSION_MEASURE = "30-day readmission rate"
 
 
-def derive_readmissions(encounters: DataFrame, window_days: int = 30) -> DataFrame:
-    """One assessment per inpatient stay: was the patient's next stay within ``window_days``?
+def assessed_stays(encounters: DataFrame, window_days: int = 30, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inpatient stays with the readmission columns: was the patient's next stay within ``window_days``?
 
     The next stay is the following row of the patient by (admission, id), stays
-    without an admission day first.  Patients are cut by admission day and id
-    block, so none has to fit in one task.
+    without an admission day first.  Patients of more than ``hot_rows`` stays are
+    cut by admission day and id block, so none has to fit in one task.
     """
-    stays = encounters.select("encounter_id", "patient_id", "encounter_type", "admission_date", "discharge_date")
+    stays = encounters.select("encounter_id", "patient_id", "hospital_id", "encounter_type", "admission_date", "discharge_date")
     stays = stays.withColumn("_block", id_block("encounter_id"))
     followed = neighbours(
         stays,
@@ -25,6 +25,7 @@ def derive_readmissions(encounters: DataFrame, window_days: int = 30) -> DataFra
         buckets=["admission_date", "_block"],
         order=["admission_date", "encounter_id"],
         payload=["encounter_id", "admission_date"],
+        hot_rows=hot_rows,
     )
     gap = F.datediff(F.col("_next.admission_date"), F.col("discharge_date"))
     within = F.coalesce(gap.between(0, window_days), F.lit(False))
@@ -34,15 +35,27 @@ def derive_readmissions(encounters: DataFrame, window_days: int = 30) -> DataFra
         F.when(within, F.col("_next.encounter_id")).alias("readmission_encounter_id"),
         F.when(within, gap).alias("days_to_readmission"),
         within.cast("int").alias("readmitted_within_30_days"),
+        "hospital_id",
+        "admission_date",
     )
 
 
+def derive_readmissions(encounters: DataFrame, window_days: int = 30, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One assessment per inpatient stay, as by :func:`assessed_stays`."""
+    stays = encounters if "hospital_id" in encounters.columns else encounters.withColumn("hospital_id", F.lit(None).cast("bigint"))
+    return assessed_stays(stays, window_days, hot_rows).drop("hospital_id", "admission_date")
+
+
 def derive_quality_measures(encounters: DataFrame, readmissions: DataFrame) -> DataFrame:
-    """Quarterly readmission rate per hospital, from the assessed stays."""
+    """Quarterly readmission rate per hospital, from assessments and the stays they belong to."""
+    return quarterly_rates(readmissions.join(encounters, F.col("index_encounter_id") == F.col("encounter_id")))
+
+
+def quarterly_rates(assessed: DataFrame) -> DataFrame:
+    """Quality measures of assessed stays that know their hospital and admission day."""
     quarter = F.trunc("admission_date", "quarter")
     counted = (
-        readmissions.join(encounters, F.col("index_encounter_id") == F.col("encounter_id"))
-        .groupBy("hospital_id", quarter.alias("measurement_period_start"))
+        assessed.groupBy("hospital_id", quarter.alias("measurement_period_start"))
         .agg(F.sum("readmitted_within_30_days").cast("int").alias("numerator"),
              F.count("*").cast("int").alias("denominator"))
     )

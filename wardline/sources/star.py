@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.local import local_table
-from wardline.operators.derive import derive_quality_measures, derive_readmissions
+from wardline.operators.derive import assessed_stays, derive_readmissions, quarterly_rates
 
 # Declared schemas of the input files, so that no footer is read for inference.
 FILE_SCHEMAS = {
@@ -251,7 +251,7 @@ def _readmissions(tables: ClinicalTables) -> DataFrame:
 
 
 def _quality_measures(tables: ClinicalTables) -> DataFrame:
-    return derive_quality_measures(tables["encounters"], tables["readmissions"])
+    return quarterly_rates(assessed_stays(tables["encounters"]))  # the assessed stay knows hospital and day: no join back
 
 
 _BUILDERS = {
