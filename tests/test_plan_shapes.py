@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as contract
 from check import rows_of
 from tests.conftest import SF_DIR
+from wardline import schemas
 from wardline.operators import layers
 from wardline.plans import catalogue
 from wardline.sources.storage import workspace, write_serving_tables
@@ -85,3 +86,34 @@ def test_independent_of_partitioning_broadcast_and_aqe(spark, name):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_bucketed_references_are_counted_where_they_lie(spark, tables, lake_root):
+    """Serving tables bucketed by encounter: no exchange of encounter-sized rows, whatever the size of the parent."""
+    from wardline.operators import quality
+    from wardline.sources import storage
+
+    database = "b_" + lake_root.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{lake_root}/database'")
+    names = ["encounters", "encounter_diagnoses", "encounter_procedures", "lab_results", "readmissions", "hospitals"]
+    storage.write_serving_tables({e: tables[e] for e in names}, database, lake_root, buckets=4)
+    served = {e: spark.table(f"{database}.{e}") for e in names}
+    by_encounter = [
+        ("encounter_diagnoses", "encounter_id"), ("encounter_procedures", "encounter_id"), ("lab_results", "encounter_id"),
+        ("readmissions", "index_encounter_id")]
+    references = [r for r in schemas.REFERENCES if (r[0], r[1]) in by_encounter]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for reference in references:
+            plan = quality.foreign_keys_by_parent(served, [reference])._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Exchange" in line and "SinglePartition" not in line]
+            assert not moved and "LeftAnti" in plan, reference
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    checked = [r for r in schemas.REFERENCES if r[0] in served and r[2] in served]
+    one, other = quality.foreign_keys_by_parent(served, checked), quality.foreign_keys(served, checked)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    broken = {**served, "encounters": served["encounters"].where("encounter_id > 40")}
+    one, other = quality.foreign_keys_by_parent(broken, checked), quality.foreign_keys(broken, checked)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and not all(r.passed for r in one.collect())

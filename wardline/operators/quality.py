@@ -126,6 +126,27 @@ def foreign_keys(tables: Tables, references=schemas.REFERENCES, null_passes: boo
         F.concat(F.lit("foreign_key:"), "column_name"), F.col("entity"), F.coalesce("_orphans", F.lit(0))))
 
 
+def foreign_keys_by_parent(tables: Tables, references=schemas.REFERENCES, null_passes: bool = True) -> DataFrame:
+    """``foreign_keys`` for stored tables, reference by reference.
+
+    Nothing but key columns of one child and one parent meets in a join, so
+    tables that are bucketed by the key are counted and joined where they lie,
+    and a parent that Spark knows to be small is sent to the child.  Frames that
+    are expensive to compute are read once for each of their references here.
+    """
+    parts = []
+    for child, column, parent, key in references:
+        used = tables[child].select(F.col(column).alias("key"))
+        if null_passes:
+            used = used.where(F.col("key").isNotNull())
+        counted = used.groupBy("key").agg(F.count("*").alias("rows"))
+        if parent in tables:
+            counted = counted.join(tables[parent].select(F.col(key).alias("key")), "key", "left_anti")
+        parts.append(counted.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("_orphans")).select(
+            *_result(F.lit(f"foreign_key:{column}"), F.lit(child), F.col("_orphans"))))
+    return union_all(parts)
+
+
 def foreign_keys_lake(tables: Tables) -> DataFrame:
     """References of the lake's entities at hand: null references and those to entities that are absent are orphans."""
     return foreign_keys(tables, [r for r in schemas.LAKE_REFERENCES if r[0] in tables], null_passes=False)
@@ -175,16 +196,23 @@ def not_null(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame
 
 
 def unique_keys(tables: Tables, entities: Sequence[str] | None = None) -> DataFrame:
-    """Keys held by more than one row, for primary and further unique keys; one pass over each entity."""
+    """Keys held by more than one row, for primary and further unique keys; one pass over each entity.
+
+    Key columns are grouped as they are; an entity with several keys is counted
+    by grouping sets, one for each key.
+    """
     parts = []
     for entity in entities or list(tables):
         keys = [schemas.ENTITY_KEYS[entity], *schemas.UNIQUE_KEYS.get(entity, ())]
+        columns = list(dict.fromkeys(c for key in keys for c in key))
+        rows = tables[entity].select(*columns)
         if len(keys) == 1:
-            counted = tables[entity].groupBy(*keys[0]).agg(F.count("*").alias("_n")).withColumn("_key", F.lit(0))
+            counted = rows.groupBy(*columns).agg(F.count("*").alias("_n"), F.lit(0).alias("_set"))
         else:
-            tagged = F.array(*[F.struct(F.lit(n).alias("_key"), F.to_json(F.struct(*key)).alias("_value")) for n, key in enumerate(keys)])
-            counted = tables[entity].select(F.inline(tagged)).groupBy("_key", "_value").agg(F.count("*").alias("_n"))
-        repeated = counted.agg(*[F.count_if((F.col("_key") == n) & (F.col("_n") > 1)).alias(f"_{n}") for n in range(len(keys))])
+            counted = rows.groupingSets([[F.col(c) for c in key] for key in keys], *[F.col(c) for c in columns]).agg(
+                F.count("*").alias("_n"), F.grouping_id().alias("_set"))
+        absent = [sum(1 << n for n, c in enumerate(reversed(columns)) if c not in key) for key in keys]
+        repeated = counted.agg(*[F.count_if((F.col("_set") == s) & (F.col("_n") > 1)).alias(f"_{n}") for n, s in enumerate(absent)])
         lines = F.array(*[
             F.struct(F.lit("unique:" + ",".join(key)).alias("check"), F.col(f"_{n}").alias("violations")) for n, key in enumerate(keys)])
         parts.append(repeated.select(F.inline(lines)).select(*_result(F.col("check"), F.lit(entity), F.col("violations"))))
