@@ -25,7 +25,7 @@ from wardline.functions.identity import EMPTY_SUM, added_sums, canonical_json, m
 from wardline.functions.local import local_table, union_all
 from wardline.operators import hash_tree, layers, quality
 from wardline.operators.hash_tree import BUCKET
-from wardline.plans.lake_run import EDGE_SCHEMA, VERSION, Lake, ObjectVersion, Snapshot, _verdicts, identity
+from wardline.plans.lake_run import EDGE_SCHEMA, VERSION, Conflict, Lake, ObjectVersion, Snapshot, _verdicts, identity
 from wardline.sources import storage
 
 PART_SCHEMA = (
@@ -34,10 +34,6 @@ PART_SCHEMA = (
 _PART = "_part"
 
 
-class Conflict(ValueError):
-    """A batch that names another parent than the head, or a known batch with other content."""
-
-
 class IncrementalLake(Lake):
     def __init__(self, spark: SparkSession, root: str, rows_in_bucket: int = hash_tree.ROWS_IN_BUCKET, **options):
         """``rows_in_bucket`` sets an entity's number of key buckets from its first batch; it stays as it is from then on."""
