@@ -222,3 +222,8 @@ def test_target_texts_score_higher(spark):
     wanted = docs.where("doc_id % 2 = 1 AND doc_id < 60").select("doc_id")
     score = {r.doc_id: r.score for r in cross_entropy.cross_entropy_difference(docs, wanted).collect()}
     assert min(score[i] for i in range(61, 120, 2)) > max(score[i] for i in range(60, 120, 2))
+
+
+def test_numerals_are_no_letters():
+    assert not any(language.has_letter(t) for t in (None, "", " \n", "½", "² 3", "Ⅷ", "①②", "_-1", "٣", "\u0301"))
+    assert all(language.has_letter(t) for t in ("a", "½ b", "漢", "ª", "1é", "Ⅷ и"))

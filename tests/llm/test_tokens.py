@@ -83,6 +83,23 @@ def test_segments_round_trip(n):
         rans.decode_segment(row)
 
 
+def test_every_table_of_a_segment_is_covered():
+    """Frequencies swapped, ids moved from one document to the next, another step count: none goes unnoticed."""
+    ids = (np.random.default_rng(3).zipf(1.3, 20_000) % 500).astype(np.uint16)
+    row = rans.encode_segment(1, 2, np.array([4, 9]), np.array([9_000, 11_000]), ids).to_pylist()[0]
+    freq = np.frombuffer(row["frequencies"], "<u4").copy()
+    freq[[0, 1]] = freq[[1, 0]]
+    changes = {
+        "frequencies": freq.tobytes(), "symbols": row["symbols"][2:4] + row["symbols"][:2] + row["symbols"][4:],
+        "doc_sizes": np.array([9_500, 10_500], "<u8").tobytes(), "doc_ids": np.array([4, 8], "<i8").tobytes(),
+        "block_steps": bytes(len(row["block_steps"])), "n_tokens": 19_999, "segment": 3}
+    for name, value in changes.items():
+        assert row[name] != value
+        with pytest.raises(ValueError, match="damaged"):
+            rans.decode_segment({**row, name: value})
+    assert (rans.decode_segment(row)[2] == ids).all()
+
+
 def test_one_id_only_and_every_id():
     for ids in (np.full(300, 7, np.uint16), np.arange(1 << 16).astype(np.uint16)):
         assert (rans.decode_segment(rans.encode_segment(0, 0, np.array([1]), np.array([len(ids)]), ids).to_pylist()[0])[2] == ids).all()

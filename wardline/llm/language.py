@@ -27,12 +27,12 @@ MOST_LANGUAGES = 500
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 4
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # numerals that are no digits as well
 _PIECE = 1 << 20  # characters hashed together
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def _add_grams(points: np.ndarray, out: np.ndarray) -> None:

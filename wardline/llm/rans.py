@@ -6,7 +6,7 @@ independently of each other.  Inside a block token t belongs to lane t mod
 ``LANES``, and the lanes' words are interleaved in decoding order.  Every
 ``CHECKPOINT`` steps a block holds the lanes' states and its place among the
 words, so decoding can begin there as well; all such stretches decode side by
-side.  Each block carries a checksum.
+side.  Each block carries a checksum, and so do a segment's tables, ids and sizes.
 """
 
 from __future__ import annotations
@@ -117,6 +117,15 @@ def _checksum(*parts: bytes) -> int:
     return crc
 
 
+#: What a segment holds besides its blocks; the last checksum covers it.
+_FRAME = ("doc_ids", "doc_sizes", "symbols", "frequencies", "block_steps")
+
+
+def _frame_checksum(shard: int, segment: int, n_tokens: int, parts: list[bytes]) -> int:
+    sizes = np.array([shard, segment, n_tokens, *map(len, parts)], "<i8").tobytes()
+    return _checksum(sizes, *parts)
+
+
 def encode_segment(shard: int, segment: int, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     freq = frequencies(ids)
     used = np.flatnonzero(freq)
@@ -135,15 +144,23 @@ def encode_segment(shard: int, segment: int, docs: np.ndarray, sizes: np.ndarray
         states += [a.astype("<u8").tobytes() for a in s]
         places += [a.astype("<u4").tobytes() for a in p]
         steps += [group.shape[1]] * len(w)
+    frame = [
+        docs.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), used.astype("<u2").tobytes(), freq[used].astype("<u4").tobytes(),
+        np.array(steps, "<u2").tobytes()]
+    sums = [_checksum(*x) for x in zip(words, states, places, strict=True)] + [_frame_checksum(shard, segment, len(ids), frame)]
     return emit(
-        _SEGMENT, shard=[shard], segment=[segment], n_tokens=[len(ids)], doc_ids=[docs.astype("<i8").tobytes()],
-        doc_sizes=[sizes.astype("<u8").tobytes()], symbols=[used.astype("<u2").tobytes()], frequencies=[freq[used].astype("<u4").tobytes()],
-        block_steps=[np.array(steps, "<u2").tobytes()], words=[words], states=[states], places=[places],
-        checksums=[[_checksum(*x) for x in zip(words, states, places, strict=True)]])
+        _SEGMENT, shard=[shard], segment=[segment], n_tokens=[len(ids)], **{name: [part] for name, part in zip(_FRAME, frame, strict=True)},
+        words=[words], states=[states], places=[places], checksums=[sums])
 
 
 def decode_segment(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, their numbers of tokens, all token ids) of a file row; raises if a checksum is off."""
+    frame = [row[name] for name in _FRAME]
+    blocks = len(row["words"])
+    if len(row["checksums"]) != blocks + 1 or row["checksums"][-1] != _frame_checksum(row["shard"], row["segment"], row["n_tokens"], frame):
+        raise ValueError(f"the tables of segment {row['shard']}/{row['segment']} are damaged")
+    if sum(np.frombuffer(row["doc_sizes"], "<u8").tolist()) != row["n_tokens"] or len(row["block_steps"]) != 2 * blocks:
+        raise ValueError(f"the sizes of segment {row['shard']}/{row['segment']} do not add up")
     for k, parts in enumerate(zip(row["words"], row["states"], row["places"], strict=True)):
         if _checksum(*parts) != row["checksums"][k]:
             raise ValueError(f"block {k} of segment {row['shard']}/{row['segment']} is damaged")
