@@ -130,32 +130,30 @@ def version_compat(versions: DataFrame) -> DataFrame:
 def lineage_ancestry(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_id, node_id, depth) of everything upstream of each start, each node once at its least depth.
 
-    Breadth first: one join per level on the frontier, which is written to the
-    shared folder so that a level never recomputes those before it.  A node is
-    found once for each start, so cycles end as well: the walk stops when a
-    level adds nothing, however deep the graph is.
+    By doubling: jumps of 1, 2, 4, ... steps are joined from the ones before,
+    and every round looks from all that is found along jumps as long as the
+    round has come so far.  So rounds grow with the logarithm of the depth.
+    Least depths have no gaps: a round that adds nothing is the last one, which
+    ends cycles as well.  Jumps and what is found are written to the shared
+    folder after each round.
     """
-    from itertools import count
-
     from wardline.sources.storage import materialize
 
-    level = starts.select(F.col("start_id"), F.col("start_id").alias("node_id"), F.lit(0).alias("depth")).distinct()
-    found = level
-    steps = edges.select("child_id", "parent_id").distinct()
-    for depth in count(1):
-        reached = (
-            level.join(steps, level["node_id"] == steps["child_id"])
-            .select("start_id", F.col("parent_id").alias("node_id")).distinct()
-            .join(found.select("start_id", "node_id"), ["start_id", "node_id"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        level = materialize(reached, "lineage")
-        if level.isEmpty():
+    found = materialize(
+        starts.select(F.col("start_id"), F.col("start_id").alias("node_id"), F.lit(0).alias("depth")).distinct(), "lineage")
+    jumps = materialize(edges.select(F.col("child_id").alias("_from"), F.col("parent_id").alias("_to")).distinct(), "lineage")
+    reach = 1
+    while True:
+        further = materialize(
+            found.join(jumps, found["node_id"] == jumps["_from"])
+            .groupBy("start_id", F.col("_to").alias("node_id")).agg((F.min("depth") + reach).cast("int").alias("depth"))
+            .join(found.select("start_id", "node_id"), ["start_id", "node_id"], "left_anti"), "lineage")
+        if further.isEmpty():
             return found
-        found = found.unionByName(level)
-        if depth % 16 == 0:  # a deep walk would grow the plan with every level
-            found = materialize(found, "lineage")
-    raise AssertionError("unreachable")
+        found = materialize(found.unionByName(further), "lineage")
+        on = jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_beyond"))
+        jumps = materialize(jumps.join(on, "_to").select("_from", F.col("_beyond").alias("_to")).distinct(), "lineage")
+        reach *= 2
 
 
 def lineage_resolve_run(

@@ -202,10 +202,8 @@ def _(tables):
 
 @query("surrogate_key")
 def _(tables):
-    numbered = storage.surrogate_key(tables["lab_results"], ["encounter_id", "lab_name", "collected_at"], "lab_result_id")
-    return numbered.agg(
-        F.count("*").alias("rows"), F.count_distinct("lab_result_id").alias("distinct_ids"),
-        F.min("lab_result_id").alias("lowest"), F.max("lab_result_id").alias("highest"))
+    return storage.surrogate_key(tables["lab_results"], ["encounter_id", "lab_name", "collected_at"], "lab_result_id").select(
+        "encounter_id", "lab_name", "collected_at", "lab_result_id")
 
 
 @query("serving_verify")

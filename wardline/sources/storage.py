@@ -127,22 +127,24 @@ def incremental_batch(parent: DataFrame, incoming: DataFrame, keys: Sequence[str
         F.lit("incremental").alias("batch_kind"))
 
 
-def surrogate_key(df: DataFrame, order: Sequence[str], out: str, start: int = 1, buckets: int = 8192) -> DataFrame:
-    """Dense ascending numbers in no particular global order, without a global window.
+def surrogate_key(df: DataFrame, order: Sequence[str], out: str, start: int = 1) -> DataFrame:
+    """Dense numbers in ascending ``order``; rows that are equal in it are numbered in no particular order.
 
-    Rows are numbered inside hash buckets of ``order`` and each bucket starts
-    after the rows of the buckets before it (``buckets`` rows of offsets).
+    Rows are written by ranges of (order, place), so that even a value that all
+    rows share is dealt over many tasks.  A row's number is its place in its
+    file after the rows of the files before; only the files' row counts meet in
+    one task, and they are what is joined back (a line for each file).
     """
     from pyspark.sql import Window as W
 
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = spread.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    offsets = sizes.select(
-        "_bucket",
-        F.coalesce(F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    numbered = spread.withColumn("_n", F.row_number().over(W.partitionBy("_bucket").orderBy(*order)))
-    return numbered.join(F.broadcast(offsets), "_bucket").select(
-        *[c for c in df.columns if c != out], (F.col("_offset") + F.col("_n") + (start - 1)).alias(out))
+    names = [c for c in df.columns if c != out]
+    placed = df.select(*names, F.monotonically_increasing_id().alias("_place"))
+    stored = materialize(placed.repartitionByRange(*order, "_place").sortWithinPartitions(*order, "_place").drop("_place"), "numbered")
+    rows = stored.select(*names, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_file", before.alias("_offset"))
+    return rows.join(F.broadcast(offsets), "_file").select(*names, (F.col("_offset") + F.col("_row") + start).alias(out))
 
 
 def catalog_listing(spark: SparkSession, database: str | None = None) -> DataFrame:
