@@ -234,24 +234,65 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column, by: Sequence[str]
     ).drop("_first_n", "_second_n", "_z")
 
 
+def ranked_rows(rows: DataFrame, value: str, weight: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` (each standing for ``weight`` equal ones) with the mean rank of ``value`` inside each ``by`` group.
+
+    Rows are written by ranges of (group, value, all else), so a value that very
+    many rows share is cut as well; in each file a running sum gives places, and
+    files start after the weights of the files before.  A value lies in one file,
+    or at the ends of several: only those, two to a file at most, are put
+    together and sent to every task.  No row is moved by its value alone.
+    """
+    names = rows.columns
+    rest = [c for c in names if c not in (*by, value)]
+    stored = materialize(
+        rows.repartitionByRange(*by, value, *rest).sortWithinPartitions(*by, value), "ranked")
+    placed = stored.select(*names, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    totals = placed.groupBy("_file").agg(F.sum(weight).alias("_total"))
+    earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # a line for each file
+    offsets = F.broadcast(totals.select("_file", "_total", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")))
+    running = W.partitionBy("_file").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("_before", F.coalesce(F.sum(weight).over(running), F.lit(0)))
+    stretch = W.partitionBy("_file", *by, value)
+    measured = inside.withColumns({
+        "_first": F.min("_before").over(stretch), "_size": F.sum(weight).over(stretch),
+        **({"_group": F.min("_before").over(W.partitionBy("_file", *by)), "_held": F.sum(weight).over(W.partitionBy("_file", *by))}
+           if by else {})}).join(offsets, "_file")
+
+    def at_ends(keys: Sequence[str], first: str, size: str, name: str) -> DataFrame:
+        """Where keys that touch an end of a file begin, and their size, over all files."""
+        touching = (F.col(first) == 0) | (F.col(first) + F.col(size) == F.col("_total"))
+        edge = measured.where(touching).groupBy("_file", *keys).agg(
+            F.min(F.col("_offset") + F.col(first)).alias("_at"), F.max(size).alias("_n"))
+        return F.broadcast(edge.groupBy(*keys).agg(F.min("_at").alias(f"{name}_at"), F.sum("_n").alias(f"{name}_n")).select(
+            *[F.col(k).alias(f"{name}_{k}") for k in keys], f"{name}_at", f"{name}_n"))
+
+    def joined(df: DataFrame, ends: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        return df.join(ends, [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys], "left")
+
+    keys = [*by, value]
+    found = joined(measured, at_ends(keys, "_first", "_size", "_tie"), keys, "_tie")
+    start = F.coalesce("_tie_at", F.col("_offset") + F.col("_first"))
+    if by:
+        found = joined(found, at_ends(by, "_group", "_held", "_of"), by, "_of")
+        start = start - F.coalesce("_of_at", F.col("_offset") + F.col("_group"))
+    return found.select(*names, (start.cast("double") + (F.coalesce("_tie_n", "_size").cast("double") + 1) / 2).alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation over complete pairs.
 
-    Equal pairs are combined first; each side's ranks come from its distinct
-    values; ranks are centred before they are multiplied.
+    Equal pairs are combined first; the pairs themselves are ranked by each
+    side; ranks are centred before they are multiplied.
     """
-    pairs = materialize(
+    pairs = (
         df.select(*by, _double(x).alias("_x"), _double(y).alias("_y")).dropna(subset=["_x", "_y"])
-        .groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")), "pairs")
-
-    def ranked(side: str, out: str) -> DataFrame:
-        counts = pairs.groupBy(*by, side).agg(F.sum("_w").alias("_n"))
-        return rank_positions(counts, side, "_n", by).select(*by, side, F.col("mean_rank").alias(out))
-
-    sizes = pairs.groupBy(*by).agg(F.sum("_w").cast("double").alias("_size"))
-    joined = pairs.join(ranked("_x", "_rx"), [*by, "_x"]).join(ranked("_y", "_ry"), [*by, "_y"])
-    joined = joined.join(sizes, list(by)) if by else joined.withColumn("_size", sizes.scalar())
-    middle = (F.col("_size") + 1) / 2
+        .groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")))
+    joined = materialize(ranked_rows(ranked_rows(pairs, "_x", "_w", "_rx", by), "_y", "_w", "_ry", by), "pairs")
+    sizes = joined.groupBy(*by).agg(F.sum("_w").cast("double").alias("_total"))
+    # The mean rank of a group of n is (n + 1) / 2 whatever the ties.
+    joined = joined.join(sizes, list(by)) if by else joined.withColumn("_total", sizes.scalar())
+    middle = (F.col("_total") + 1) / 2
     centred = joined.select(
         *by, _double("_w").alias("_w"), (F.col("_rx") - middle).alias("_dx"), (F.col("_ry") - middle).alias("_dy"))
     sums = centred.groupBy(*by).agg(
