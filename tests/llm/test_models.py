@@ -165,39 +165,27 @@ def test_lasso_leaves_zeros_and_temperature_calibrates():
 
 
 def plain_scores(rows, wanted):
-    """The same models counted with dictionaries."""
-    def stream(text):
-        return [0xFE] * 4 + list((text or "").encode()) + [0xFF]
-
-    def slot(value, salt):
-        return ((value + salt) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - cross_entropy.SLOT_BITS)
-
-    def cells(s, i):
-        one, two = s[i], s[i - 1] | s[i - 2] << 8
-        four = two | s[i - 3] << 16 | s[i - 4] << 24
-        return (1, one), (2, two), (3, slot(one | two << 8, 1)), (4, slot(four, 2)), (5, slot(one | four << 8, 3))
-
-    target, background = Counter(), Counter()
-    for doc, text in rows:
-        s = stream(text)
+    """The same models from dictionaries of strings and of contexts."""
+    streams = [(doc, b"\xfe" * 4 + (text or "").encode() + b"\xff") for doc, text in rows]
+    target, background = (Counter(), Counter()), (Counter(), Counter())
+    for doc, s in streams:
         for i in range(4, len(s)):
-            found = cells(s, i)
-            background.update(found)
-            if doc in wanted:
-                target.update(found)
-    sizes = [sum(v for k, v in t.items() if k[0] == 1) for t in (target, background)]
+            for k in range(1, 6):
+                for grams, contexts in [background] + [target] * (doc in wanted):
+                    grams[s[i + 1 - k : i + 1]] += 1
+                    contexts[k, s[i + 1 - k : i]] += 1
+    sizes = [contexts[1, b""] for _, contexts in (target, background)]
     scale = sizes[0] / sizes[1] if sizes[0] else 1.0
     out = []
-    for doc, text in rows:
-        s = stream(text)
+    for doc, s in streams:
         losses = []
-        for table, ratio, total in ((target, 1.0, sizes[0]), (background, scale, sizes[1] * scale)):
+        for (grams, contexts), ratio in ((target, 1.0), (background, scale)):
             loss = 0.0
             for i in range(4, len(s)):
-                one, two, three, four, five = (table[c] * ratio for c in cells(s, i))
-                p = (one + cross_entropy.FLOOR) / (total + cross_entropy.FLOOR * cross_entropy.SYMBOLS)
-                for gram, seen in ((three, two), (five, four)):
-                    p = (min(gram, seen) + cross_entropy.STRENGTH * p) / (seen + cross_entropy.STRENGTH)
+                p = (grams[s[i : i + 1]] * ratio + cross_entropy.FLOOR) / (contexts[1, b""] * ratio + cross_entropy.FLOOR * cross_entropy.SYMBOLS)
+                for k in range(2, 6):
+                    seen = contexts[k, s[i + 1 - k : i]] * ratio
+                    p = (grams[s[i + 1 - k : i + 1]] * ratio + cross_entropy.STRENGTH * p) / (seen + cross_entropy.STRENGTH)
                 loss -= math.log(p)
             losses.append(loss / (len(s) - 4))
         out.append((doc, len(s) - 4, *losses, losses[1] - losses[0]))
@@ -211,10 +199,42 @@ def test_cross_entropy_difference(spark, wanted):
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     want = sorted(plain_scores([(r[0], r[1]) for r in odd_documents()], wanted), key=key)
     for g, w in zip(sorted(map(tuple, got), key=key), want, strict=True):
-        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-4, abs=1e-5)
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9, abs=1e-11)
     assert cross_entropy.cross_entropy_difference(empty_frame(spark), ids).collect() == []
 
 
+def test_losses_add_up_over_all_symbols(spark):
+    """A context's chances of all 257 symbols, seen or not, would sum to one: those of seen ones stay below."""
+    rows = [(i, text) for i, text in enumerate(["abcab", "abd", "", "xyzzy" * 9])]
+    s = [b"\xfe" * 4 + text.encode() + b"\xff" for _, text in rows]
+    counts = Counter(int.from_bytes(x[i - 4 : i + 1]) for x in s for i in range(4, len(x)))
+    frame = spark.createDataFrame([(g, n, n) for g, n in counts.items()], "gram long, wanted long, seen long")
+    chances = Counter()
+    for r in cross_entropy.models(frame).collect():
+        assert r.loss_target == pytest.approx(r.loss_background)
+        chances[r.gram >> 8] += math.exp(-r.loss_target)
+    assert len(chances) > 10 and all(0 < p < 1 for p in chances.values())
+
+
+def test_small_chunks_and_parts_score_alike(spark, monkeypatch):
+    ids = spark.createDataFrame([(0,), (12,)], "doc_id long")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    whole = sorted(map(tuple, cross_entropy.cross_entropy_difference(odd_frame(spark), ids).collect()), key=key)
+    for name, size in (("PART", 100), ("_SEGMENT", 64)):
+        monkeypatch.setattr(cross_entropy, name, size)
+    data = np.frombuffer("".join(t or "" for _, t, *_ in odd_documents()).encode(), np.uint8)
+    at = np.concatenate(([0], np.cumsum([len((t or "").encode()) for _, t, *_ in odd_documents()])))
+    spans = list(cross_entropy._parts(at))
+    assert [s[0] for s in spans[1:]] == [s[1] for s in spans[:-1]] and spans[0][0] == 0 and spans[-1][1] == len(at) - 1
+    stream, places, _ = cross_entropy.token_stream(data, at)
+    found, tokens = Counter(), []
+    for string, start, token in cross_entropy.runs(stream, places):
+        found.update(dict(zip(string.tolist(), np.diff(start, append=len(token)).tolist())))
+        tokens.extend(token.tolist())
+    assert found == Counter(int.from_bytes(stream[p - 4 : p + 1].tobytes()) for p in places.tolist())
+    assert sorted(tokens) == list(range(len(places))) and len(whole) == len(odd_documents())
+
+
 def test_target_texts_score_higher(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 60) if i % 2 else "".join(rng.choice("qwxyz ") for _ in range(300))) for i in range(120)]
