@@ -1,8 +1,10 @@
 import math
 import random
+import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.llm import nn_descent, topk
 
@@ -75,6 +77,36 @@ def test_few_trees_are_refined_and_audited(spark):
     assert sorted(map(tuple, got)) == plain_links(rows, 0.98)
 
 
+def test_audit_goes_on_until_it_meets_links(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 12))
+    x[51] = x[17] + 1e-3  # the only link
+    rows = [(n, v.tolist(), "a") for n, v in enumerate(x)]
+    good = nn_descent.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), "vec_id", "embedding", "label")
+    classes = good.select(F.col("vec_id").alias("node"), "label", "unit", F.xxhash64("vec_id").alias("salted"))
+    for size, most in ((8, 16), (8, 4096), (60, 4096)):
+        monkeypatch.setattr(nn_descent, "AUDITED", size)
+        monkeypatch.setattr(nn_descent, "MOST_AUDITED", most)
+        truth, links, audited = nn_descent._audit(classes, classes, 0.98)
+        got = {r.node: r.truth for r in truth.collect()}
+        assert len(got) == audited == min(most, 60) and links == sum(got.values())
+        assert all(got[n] == (n in (17, 51)) for n in got)
+        counts = spark.createDataFrame([(n, 0) for n in range(60)], "node long, others long")
+        assert nn_descent._recall(truth, counts) == (0 if links else 1)
+
+
+def test_audit_reports_what_it_cannot_vouch_for():
+    with pytest.raises(RuntimeError, match="0.800"):
+        nn_descent._report(0.8, 900, 256, 10**6)
+    for recall, links in ((0.95, 900), (1.0, 0), (1.0, 199)):
+        with pytest.warns(UserWarning, match=f"{links} links"):
+            nn_descent._report(recall, links, 256, 10**6)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        nn_descent._report(1.0, 900, 256, 10**6)
+        nn_descent._report(1.0, 0, 40, 40)
+
+
 def test_best_pairs_by_blocks(monkeypatch):
     x = np.random.default_rng(1).standard_normal((150, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

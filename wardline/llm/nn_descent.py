@@ -7,13 +7,16 @@ Lists hold only neighbours above a floor that lies as far below the threshold
 as two links in a row can reach.  A list that is full of links may hide more
 (it is saturated); lists are then enlarged to the whole cluster that the graph
 connects, and clusters are measured block against block, so that every link
-inside them counts.  A sample of vectors compared with all others audits the
-recall; while it falls short, more trees are added and the descent goes on.
+inside them counts.  A sample of vectors compared with all others, enlarged
+until it holds enough true links, audits the recall; while it falls short, more
+trees are added and the descent goes on.  A recall that stays short, or that
+too few links stand for, is reported.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,11 @@ LEAF = 40  # vectors in a leaf, about
 NEIGHBOURS = 12
 MOST_ROUNDS = 8
 BLOCK = 1024
-AUDITED = 256
+AUDITED = 256  # vectors compared with all others at once
+MOST_AUDITED = 4096
+EVIDENCE = 200  # true links that the audit asks for
 RECALL = 0.99
+LEAST_RECALL = 0.9
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -188,6 +194,11 @@ def near_vectors(
     whose copies link with each other and share their links.  Rows that repeat
     an id count as vectors of their own and each get a row.  An empty table
     gives no row.
+
+    Recall is audited on up to ``MOST_AUDITED`` vectors, until they hold
+    ``EVIDENCE`` true links.  If it is below ``RECALL`` when eight times
+    ``trees`` have grown, or if fewer links were met, a warning says so; below
+    ``LEAST_RECALL`` it is a RuntimeError.
     """
     rows = vectors.select(long_id(id_column, "vec_id")).where("vec_id IS NOT NULL")
     good = materialize(usable(vectors, id_column, vector_column, label_column), "vectors")
@@ -200,8 +211,7 @@ def near_vectors(
     bits = max(1, min(24, math.ceil(math.log2(max(2, n / LEAF)))))
     vectors_of = classes.select("node", "label", "unit", "copies")
     width = partition_count(classes)
-    sample = [r["node"] for r in classes.select("node").orderBy("salted").limit(AUDITED).collect()]
-    audited = vectors_of.where(F.col("node").isin(sample)) if sample else vectors_of.limit(0)
+    truth, links, audited = _audit(classes, vectors_of, threshold)
 
     lists, grown = None, 0
     while True:
@@ -211,8 +221,10 @@ def near_vectors(
         lists = materialize(_best(seeds if lists is None else seeds.unionByName(lists), keep), "lists")
         lists = _descend(lists, vectors_of, floor, keep, width)
         counts, edges = _measure(lists, vectors_of, threshold, width)
-        if _recall(audited, vectors_of, counts, threshold) >= RECALL or grown >= 8 * trees:
+        recall = _recall(truth, counts)
+        if recall >= RECALL or grown >= 8 * trees:
             break
+    _report(recall, links, audited, n)
 
     # from nodes back to vectors: copies link with each other and with all copies of linked nodes
     found = components(edges)
@@ -271,15 +283,31 @@ def _measure(lists: DataFrame, vectors_of: DataFrame, threshold: float, width: i
     return counts, measured.where("near IS NOT NULL").select(F.col("node").alias("a"), F.col("near").alias("b"))
 
 
-def _recall(audited: DataFrame, vectors_of: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Found share of the links of the audited nodes, compared with all; the sample is of bounded size."""
+def _audit(classes: DataFrame, vectors_of: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
+    """((node, truth) of the audited nodes, their true links, their number): blocks in hashed order against all vectors."""
+    after, links, audited, truth = None, 0, 0, None
+    while truth is None or (links < EVIDENCE and audited < MOST_AUDITED):
+        left = classes if after is None else classes.where(F.col("salted") > after)
+        block = left.select("node", "label", "unit", "salted").orderBy("salted").limit(AUDITED).collect()
+        if truth is not None and not block:
+            break
+        found = materialize(_true_links(block, vectors_of, threshold), "audit")
+        truth = found if truth is None else truth.unionByName(found)
+        links += found.agg(F.sum("truth")).first()[0] or 0
+        audited += len(block)
+        if len(block) < AUDITED:
+            break
+        after = block[-1]["salted"]
+    return truth, links, audited
+
+
+def _true_links(block: list, vectors_of: DataFrame, threshold: float) -> DataFrame:
+    """(node, truth): links of the nodes of a block, whose size is bounded, by comparing them with all vectors."""
     by_label: dict[tuple[str, int], tuple[list[int], list[bytes]]] = {}
-    for r in audited.collect():
+    for r in block:
         ids, units = by_label.setdefault((r["label"], len(r["unit"])), ([], []))
         ids.append(r["node"])
         units.append(bytes(r["unit"]))
-    if not by_label:
-        return 1.0
     ready = {k: (ids, _unit(units)) for k, (ids, units) in by_label.items()}
     schema = pa.schema([("node", pa.int64()), ("truth", pa.int64())])
 
@@ -296,11 +324,26 @@ def _recall(audited: DataFrame, vectors_of: DataFrame, counts: DataFrame, thresh
                     near &= np.array(ids)[:, None] != np.array([nodes[n] for n in those])[None]
                     yield emit(schema, node=ids, truth=near.sum(axis=1))
 
-    truth = vectors_of.select("node", "label", "unit").mapInArrow(step, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+    return vectors_of.select("node", "label", "unit").mapInArrow(step, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+
+
+def _recall(truth: DataFrame, counts: DataFrame) -> float:
+    """Found share of the true links; 1 where there are none."""
     both = truth.join(counts, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("others", F.lit(0))))).first()
     return 1.0 if not both[0] else both[1] / both[0]
 
 
+def _report(recall: float, links: int, audited: int, nodes: int) -> None:
+    """Say what an audit cannot vouch for; an audit of all nodes is complete with any number of links."""
+    met = f"{audited} of {nodes} audited vectors hold {links} links"
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"near-duplicate search found {recall:.3f} of the true links ({met}); grow more trees")
+    if recall < RECALL:
+        warnings.warn(f"near-duplicate search found {recall:.3f} of the true links ({met})", stacklevel=3)
+    elif links < EVIDENCE and audited < nodes:
+        warnings.warn(f"recall of the near-duplicate search rests on few links: {met}", stacklevel=3)
+
+
 def oracle(threshold: float = THRESHOLD) -> str:
     """The same rows by comparing every pair of a label, as DuckDB SQL."""
     return f"""
