@@ -33,7 +33,7 @@ LEAF = 40  # vectors in a leaf, about
 NEIGHBOURS = 12
 MOST_ROUNDS = 8
 BLOCK = 1024
-AUDITED = 256  # vectors compared with all others at once
+AUDITED = 256  # vectors compared with all others at first; each further block is twice as large
 MOST_AUDITED = 4096
 EVIDENCE = 200  # true links that the audit asks for
 RECALL = 0.99
@@ -284,20 +284,20 @@ def _measure(lists: DataFrame, vectors_of: DataFrame, threshold: float, width: i
 
 
 def _audit(classes: DataFrame, vectors_of: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
-    """((node, truth) of the audited nodes, their true links, their number): blocks in hashed order against all vectors."""
-    after, links, audited, truth = None, 0, 0, None
+    """((node, truth) of the audited nodes, their true links, their number): growing blocks in hashed order against all vectors."""
+    after, links, audited, truth, size = None, 0, 0, None, AUDITED
     while truth is None or (links < EVIDENCE and audited < MOST_AUDITED):
         left = classes if after is None else classes.where(F.col("salted") > after)
-        block = left.select("node", "label", "unit", "salted").orderBy("salted").limit(AUDITED).collect()
+        block = left.select("node", "label", "unit", "salted").orderBy("salted").limit(size).collect()
         if truth is not None and not block:
             break
         found = materialize(_true_links(block, vectors_of, threshold), "audit")
         truth = found if truth is None else truth.unionByName(found)
         links += found.agg(F.sum("truth")).first()[0] or 0
         audited += len(block)
-        if len(block) < AUDITED:
+        if len(block) < size:
             break
-        after = block[-1]["salted"]
+        after, size = block[-1]["salted"], min(2 * size, MOST_AUDITED - audited)
     return truth, links, audited
 
 
