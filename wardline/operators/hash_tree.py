@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from wardline.functions.identity import checksum_columns, logical_line, merged_checksums
 from wardline.functions.local import local_table, union_all
+from wardline.sources import storage
 
 ROWS_IN_BUCKET = 1 << 20
 MOST_BUCKETS = 1 << 16
@@ -124,8 +125,14 @@ class KeyedSnapshot:
 
 def write_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
     """Rows below ``path`` in a folder for each bucket of the key, sorted by key."""
-    placed = rows.withColumn(BUCKET, bucket_of(keys, buckets))
-    placed.repartition(BUCKET).sortWithinPartitions(BUCKET, *keys).write.partitionBy(BUCKET).mode("errorifexists").parquet(path)
+    write_buckets(rows.withColumn(BUCKET, bucket_of(keys, buckets)), path, keys)
+
+
+def write_buckets(placed: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Rows that know their bucket, each in its bucket's folder and sorted by key."""
+    met = storage.with_hex_hash(storage.with_binary_hash(placed).repartition(BUCKET))
+    met.sortWithinPartitions(BUCKET, *keys).write.partitionBy(BUCKET).mode("errorifexists").option(
+        "compression", storage.CODEC).parquet(path)
 
 
 def write_snapshot(

@@ -176,13 +176,13 @@ class IncrementalLake(Lake):
         bronze = storage.read_entity(self.spark, o.path, o.entity)
         keys = schemas.ENTITY_KEYS[o.entity]
         buckets = self.parts(base)[0]["buckets"] if base else hash_tree.buckets_for(o.row_count, self.rows_in_bucket)
-        firsts = layers.silver_typing(layers.silver_dedup(bronze, keys)).withColumn(BUCKET, hash_tree.bucket_of(keys, buckets))
+        firsts, _ = layers.stored_firsts(bronze, keys)
+        firsts = layers.silver_typing(firsts).withColumn(BUCKET, hash_tree.bucket_of(keys, buckets))
         if base:
-            firsts = storage.materialize(firsts, "firsts")
             nodes = [r[BUCKET] for r in firsts.select(BUCKET).distinct().collect()]  # as many as there are buckets
-            firsts = firsts.join(self.state(base, "silver", nodes).select(*keys), list(keys), "left_anti")
+            firsts = storage.without_keys(firsts, self.state(base, "silver", nodes), keys)
         path = f"{self._state_root(o.entity)}/{_PART}={uuid.uuid4().hex}"
-        firsts.repartition(BUCKET).sortWithinPartitions(BUCKET, *keys).write.partitionBy(BUCKET).parquet(path)
+        hash_tree.write_buckets(firsts, path, keys)
         part, checks = self._measured(o, "silver", path, quality.silver_rules(o.entity))
         identifiers = quality.identifier_rule(o.entity)
         if identifiers:
