@@ -90,8 +90,8 @@ def key_changes(left: DataFrame, right: DataFrame, keys: Sequence[str], hash_col
     Rows are signed and added up by key and hash, so equal ones cancel on the
     map side and no join is needed, however often a key repeats.
     """
-    signed = left.select(*keys, F.col(hash_column), F.lit(-1).alias("_sign")).unionAll(
-        right.select(*keys, F.col(hash_column), F.lit(1)))
+    digest = F.unhex(hash_column).alias(hash_column)
+    signed = left.select(*keys, digest, F.lit(-1).alias("_sign")).unionAll(right.select(*keys, digest, F.lit(1)))
     net = signed.groupBy(*keys, hash_column).agg(F.sum("_sign").alias("_net"))
     found = net.where("_net <> 0").groupBy(*keys).agg(
         F.sum(F.greatest(-F.col("_net"), F.lit(0))).alias("only_left"), F.sum(F.greatest("_net", F.lit(0))).alias("only_right"))
@@ -123,16 +123,16 @@ class KeyedSnapshot:
         return found if nodes is None else found.where(F.col(BUCKET).isin(list(nodes)))
 
 
-def write_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Rows below ``path`` in a folder for each bucket of the key, sorted by key."""
-    write_buckets(rows.withColumn(BUCKET, bucket_of(keys, buckets)), path, keys)
+def write_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int, row_hash: Column | None = None) -> None:
+    """Rows below ``path`` in a folder for each bucket of the key, sorted by key; with ``row_hash`` taken where they are written."""
+    write_buckets(rows.withColumn(BUCKET, bucket_of(keys, buckets)), path, keys, row_hash)
 
 
-def write_buckets(placed: DataFrame, path: str, keys: Sequence[str]) -> None:
+def write_buckets(placed: DataFrame, path: str, keys: Sequence[str], row_hash: Column | None = None) -> None:
     """Rows that know their bucket, each in its bucket's folder and sorted by key."""
-    met = storage.with_hex_hash(storage.with_binary_hash(placed).repartition(BUCKET))
-    met.sortWithinPartitions(BUCKET, *keys).write.partitionBy(BUCKET).mode("errorifexists").option(
-        "compression", storage.CODEC).parquet(path)
+    met = storage.with_binary_hash(placed).repartition(BUCKET).sortWithinPartitions(BUCKET, *keys)
+    done = storage.with_hex_hash(met) if row_hash is None else met.withColumn(HASH, row_hash)
+    done.write.partitionBy(BUCKET).mode("errorifexists").option("compression", storage.CODEC).parquet(path)
 
 
 def write_snapshot(
@@ -144,7 +144,7 @@ def write_snapshot(
 
     def one(entity: str) -> None:
         frame = tables[entity]
-        write_keyed(frame.withColumn(HASH, F.sha2(logical_line(frame, entity), 256)), f"{root}/{entity}", keys[entity], buckets[entity])
+        write_keyed(frame, f"{root}/{entity}", keys[entity], buckets[entity], F.sha2(logical_line(frame, entity), 256))
 
     with ThreadPoolExecutor(parallel) as pool:
         list(pool.map(one, tables))
