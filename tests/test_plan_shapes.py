@@ -117,3 +117,31 @@ def test_bucketed_references_are_counted_where_they_lie(spark, tables, lake_root
     broken = {**served, "encounters": served["encounters"].where("encounter_id > 40")}
     one, other = quality.foreign_keys_by_parent(broken, checked), quality.foreign_keys(broken, checked)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and not all(r.passed for r in one.collect())
+
+
+def test_serving_tables_grow_by_buckets_and_are_counted_as_written(spark, tables, lake_root, monkeypatch):
+    """The buckets follow the rows; an entity is computed once, and rows that are lost after the write are a violation."""
+    from wardline.plans import lake_run
+    from wardline.sources import storage
+
+    assert [storage.bucket_count(n) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [8, 8, 9, 216]
+    asked = []
+    monkeypatch.setattr(storage, "ROWS_IN_BUCKET", 500)
+    write = storage.write_serving_tables
+    monkeypatch.setattr(storage, "write_serving_tables", lambda t, d, r, buckets, *rest: asked.append(buckets) or write(t, d, r, buckets, *rest))
+    result = contract.queries()["sink_serving_tables"](spark, SF_DIR)
+    assert set(asked) == {-(-tables.star.lineitem.count() // 500)}
+    assert "lineitem.parquet" not in plan(result) and "orders.parquet" not in plan(result)
+
+    database, written = "b_" + lake_root.rsplit("-", 1)[1], {}
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{lake_root}/database'")
+    names = ["encounters", "encounter_diagnoses", "hospitals"]
+    write({e: tables[e] for e in names}, database, lake_root, 4, written)
+    assert written == {e: tables[e].count() for e in names}
+    empty = {"encounter_procedures": tables["encounter_procedures"].where("encounter_id < 0")}
+    write(empty, database, lake_root, 4, written)
+    assert written["encounter_procedures"] == 0
+    served = {e: spark.table(f"{database}.{e}") for e in names}
+    served["encounters"] = served["encounters"].where("encounter_id <> 1")
+    lost = lake_run.load_validation(served, spark.createDataFrame([(e, written[e]) for e in names], "entity string, row_count long"))
+    assert {r.entity: r.violations for r in lost.where("check = 'row_count'").collect()} == {"encounters": 1, "encounter_diagnoses": 0, "hospitals": 0}
