@@ -59,6 +59,17 @@ def test_strings_of_added_tokens(path):
     assert (ids >= 49406).any()
 
 
+def test_frequent_pieces_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 20)
+    encode = tokens.PieceEncoder(BYTES)
+    asked, fresh = [], encode._fresh
+    monkeypatch.setattr(encode, "_fresh", lambda pieces, sure: asked.extend(pieces) or fresh(pieces, sure))
+    for n in range(40):
+        encode.encode(pa.array([f"x water {chr(97 + n % 26)}{chr(97 + n // 26)}q {chr(97 + n % 26)}{chr(97 + n // 26)}z"]))
+    assert asked.count(b" water") == 1 and len(asked) == 2 + 2 * 40
+    assert len(encode.known) + len(encode.earlier) <= 20 + 4
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 3)
     encoder, encode = tokens.PieceEncoder(BYTES), library(BYTES)

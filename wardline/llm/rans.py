@@ -31,6 +31,7 @@ CHECKPOINT = 256
 SEGMENT = 2_000_000  # ids after which a segment ends with its document
 PRECISION = 20
 BYTES_IN_PART = 16 << 20
+BYTES_AT_ONCE = 4 << 20  # of text to the encoder, which looks up each distinct piece of them once
 
 _M = 1 << PRECISION
 _LOW = np.uint64(1 << 31)
@@ -200,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_column: str = "
     def step(batches: Batches) -> Iterator[pa.RecordBatch]:
         tokens, shard, segment = encoder(vocabulary), TaskContext.get().partitionId(), 0
         docs_held, sizes_held, ids_held, held = [], [], [], 0
-        for part in rows_of_batches(batches, size=1 << 20):
+        for part in rows_of_batches(batches, size=BYTES_AT_ONCE):
             ids, sizes = tokens.encode(part["text"])
             ids = np.insert(ids, np.cumsum(sizes), END)
             docs_held.append(np.asarray(part["doc_id"].combine_chunks()))

@@ -30,9 +30,9 @@ _MARK[33:127] = True
 _MARK &= ~_LETTER
 _MARK[48:58] = False
 
-CACHED_PIECES = 300_000  # held by each Python worker; the oldest half goes when there are more
+CACHED_PIECES = 600_000  # held by each Python worker; of more, those go that were not met for the longest time
 CACHED_BYTES = 64  # longer pieces hardly come again
-JOINED = 64  # single words that go to the library in one text
+JOINED = 256  # single words that go to the library in one text
 
 
 @lru_cache(maxsize=4)
@@ -58,7 +58,8 @@ class PieceEncoder:
         if any(t.normalized for t in added):
             raise ValueError("added tokens that are looked for in normalised text")
         self.added = [t.content.encode() for t in added]
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # pieces met since ``earlier`` was last replaced
+        self.earlier: dict[bytes, bytes] = {}
         # where one word ends among the ids of many: by the words' bytes, or by the tokens that end a word
         vocabulary = self.tokenizer.get_vocab()
         self.ends_words = sum(t.endswith("</w>") for t in vocabulary) > len(vocabulary) // 4
@@ -118,6 +119,24 @@ class PieceEncoder:
                 here = raw.find(content, here + 1)
         return np.unique(np.searchsorted(at, places, side="right") - 1) if places else np.zeros(0, np.int64)
 
+    def _look_up(self, keys: list[bytes], sure: list[bool]) -> list[bytes]:
+        """The packed ids of different pieces; pieces met again move up, so that frequent ones stay."""
+        ids = list(map(self.known.get, keys))
+        missing = []
+        for n in [n for n, x in enumerate(ids) if x is None]:
+            found = self.earlier.get(keys[n])
+            if found is None:
+                missing.append(n)
+            else:
+                ids[n] = self.known[keys[n]] = found
+        for n, found in zip(missing, self._fresh([keys[n] for n in missing], [sure[n] for n in missing]), strict=True):
+            ids[n] = found
+            if len(keys[n]) <= CACHED_BYTES:
+                self.known[keys[n]] = found
+        if len(self.known) > CACHED_PIECES // 2:
+            self.known, self.earlier = {}, self.known
+        return ids
+
     def encode(self, texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end as uint16, number of ids of each); a null text has none."""
         data, at = column_bytes(texts)
@@ -147,14 +166,7 @@ class PieceEncoder:
         different, places = distinct.to_pybytes(), edges.tolist()
         keys = [different[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
         sure = self._surely_one_word(np.frombuffer(different, np.uint8), edges[:-1], edges[1:]).tolist()
-        ids = list(map(self.known.get, keys))
-        missing = [n for n, x in enumerate(ids) if x is None]
-        for n, found in zip(missing, self._fresh([keys[n] for n in missing], [sure[n] for n in missing]), strict=True):
-            ids[n] = found
-            if len(keys[n]) <= CACHED_BYTES:
-                self.known[keys[n]] = found
-        if len(self.known) > CACHED_PIECES:
-            self.known = dict(list(self.known.items())[len(self.known) // 2 :])
+        ids = self._look_up(keys, sure)
         flat = np.frombuffer(b"".join(ids), np.uint16)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         begin = np.cumsum(sizes) - sizes
