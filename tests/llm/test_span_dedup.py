@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty_frame, odd_documents, odd_frame, prose
 from wardline.llm import span_dedup
@@ -92,5 +93,15 @@ def test_cleaned_keeps_columns_and_characters(spark):
     assert {r.text for r in out.where("doc_id IS NULL").collect()} == {r[1] for r in odd_documents() if r[0] is None}
 
 
+def test_cleaned_shuffles_texts_no_more_than_twice(spark):
+    """All columns go with the texts to the step that removes spans; nothing is joined to them afterwards."""
+    frame = odd_frame(spark).where("doc_id NOT IN (3, 12)").withColumn("more", F.struct(F.array("source", "lang").alias("a.b"), F.lit(1.5).cast("decimal(9,2)")))
+    out = span_dedup.cleaned(frame)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert [f.dataType for f in out.schema] == [f.dataType for f in frame.schema]
+    assert sorted(map(repr, out.drop("text").collect())) == sorted(map(repr, frame.drop("text").collect()))
+
+
 def test_empty(spark):
     assert span_dedup.repeated_passages(empty_frame(spark)).collect() == []

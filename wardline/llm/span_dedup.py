@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardline.llm.common import (
     Batches, PolynomialHash, column_bytes, emit, materialize, mix64, partition_count, rows_of_batches, sorted_runs,
@@ -418,6 +419,11 @@ def _sort_groups(buckets: int, doc_buckets: int, length: int):
 _MARKED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("removed", pa.binary())])
 
 
+def _beside(batch: pa.RecordBatch, *carried: pa.Array) -> pa.RecordBatch:
+    """The batch, with the carried column if there is one."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *carried], names=batch.schema.names + ["carried"] * len(carried))
+
+
 def _mark(batches: Batches) -> Batches:
     """Each text with its repeats, joined and ordered, as packed pairs of start and end."""
     for run in sorted_runs(batches, ["bucket"], size=BATCH):
@@ -425,10 +431,12 @@ def _mark(batches: Batches) -> Batches:
         spans = _spans(spans["doc"], spans["start"], spans["size"])
         low, high = np.searchsorted(spans["doc"], ids), np.searchsorted(spans["doc"], ids, side="right")
         pairs = np.stack((spans["start"], spans["start"] + spans["size"]), axis=1).astype(np.int32)
-        texts = run.filter(pa.compute.equal(run["kind"], _WHOLE))["data"].combine_chunks()
-        yield emit(
-            _MARKED, doc_id=ids, text=texts if len(ids) else [],
-            removed=[pairs[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        texts = run.filter(pa.compute.equal(run["kind"], _WHOLE))
+        if len(ids):
+            marked = emit(
+                _MARKED, doc_id=ids, text=texts["data"].combine_chunks(),
+                removed=[pairs[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+            yield _beside(marked, *(texts[c].combine_chunks() for c in run.column_names if c == "carried"))
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
@@ -455,6 +463,9 @@ def marked_spans(
 ) -> DataFrame:
     """What ``then`` makes of batches (doc_id, text as bytes, removed) of rows (doc_id, text) with unique ids.
 
+    A column ``carried`` of the rows goes with their texts to ``then``, after
+    the others.
+
     ``removed`` holds ascending disjoint (start, end) pairs of 32-bit integers:
     the byte spans that repeat earlier strings.  Both steps share one Python
     worker.
@@ -468,17 +479,21 @@ def marked_spans(
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(width, "bucket").sortWithinPartitions("bucket")
 
-    compared = materialize(dealt(rows.mapInArrow(_find(buckets, doc_buckets, length), _PACKED_DDL)).mapInArrow(
+    plain = rows.select("doc_id", "text")
+    compared = materialize(dealt(plain.mapInArrow(_find(buckets, doc_buckets, length), _PACKED_DDL)).mapInArrow(
         _compare(buckets, doc_buckets, crowded), _PACKED_DDL), "pieces")
-    texts = rows.mapInArrow(_by_document(doc_buckets), "bucket int, kind tinyint, data binary, doc_id long")
 
-    def with_texts(marks: DataFrame) -> DataFrame:
-        return dealt(texts.unionByName(marks.withColumn("doc_id", F.lit(None).cast("long"))))
+    def and_carried(schema: str, rows: DataFrame) -> StructType:
+        return StructType([*StructType.fromDDL(schema), *(f for f in rows.schema if f.name == "carried")])
 
-    wanted = with_texts(compared.where(F.col("kind") == _WANTED)).mapInArrow(_fetch(buckets, length), _BYTES_DDL)
+    def with_texts(marks: DataFrame, rows: DataFrame) -> DataFrame:
+        texts = rows.mapInArrow(_by_document(doc_buckets), and_carried(f"{_PACKED_DDL}, doc_id long", rows))
+        return dealt(texts.unionByName(marks, allowMissingColumns=True))
+
+    wanted = with_texts(compared.where(F.col("kind") == _WANTED), plain).mapInArrow(_fetch(buckets, length), _BYTES_DDL)
     found = dealt(wanted).mapInArrow(_sort_groups(buckets, doc_buckets, length), _PACKED_DDL)
     marks = compared.where(F.col("kind") == _REPEAT).unionByName(found)
-    return with_texts(marks).mapInArrow(lambda batches: then(_mark(batches)), schema)
+    return with_texts(marks, rows).mapInArrow(lambda batches: then(_mark(batches)), and_carried(schema, rows))
 
 
 _TEXTS = pa.schema([*_PACKED, ("doc_id", pa.int64())])
@@ -489,8 +504,9 @@ def _by_document(doc_buckets: int):
         for part in batches:
             ids = np.asarray(part.column(0))
             texts = pa.compute.fill_null(part.column(1), "").cast(pa.binary())
-            yield emit(
-                _TEXTS, bucket=_bucket(ids, doc_buckets).astype(np.int32), kind=np.full(len(ids), _WHOLE, np.int8), data=texts, doc_id=ids)
+            yield _beside(emit(
+                _TEXTS, bucket=_bucket(ids, doc_buckets).astype(np.int32), kind=np.full(len(ids), _WHOLE, np.int8), data=texts, doc_id=ids,
+            ), *part.columns[2:])
 
     return step
 
@@ -556,7 +572,7 @@ def _whole_characters(batches: Batches) -> Batches:
                 at = b
             parts.append(text[at:])
             texts.append(b"".join(parts).decode("utf-8"))
-        yield emit(_CLEAN, doc_id=batch.column(0), text=texts)
+        yield _beside(emit(_CLEAN, doc_id=batch.column(0), text=texts), *batch.columns[3:])
 
 
 def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
@@ -565,10 +581,11 @@ def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     Null texts stay null, and rows without an id stay as they are.
     """
     rows, _ = numbered(docs, id_column, text_column)
-    texts = marked_spans(_plain(rows, text_column), _whole_characters, "doc_id long, text string", length).select(
-        F.col("doc_id").alias("_of"), F.col("text").alias("_kept"))
-    others = rows.withColumn("_null", F.col(f"`{text_column}`").isNull()).drop(text_column)
-    joined = others.join(texts, F.col("_number") == F.col("_of"))
-    text = F.when(F.col("_null"), None).otherwise(F.col("_kept")).alias(text_column)
-    return joined.select(*[text if c == text_column else F.col(f"`{c}`") for c in docs.columns]).unionByName(
+    others = [c for c in docs.columns if c != text_column]
+    carried = F.struct(F.col(f"`{text_column}`").isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(others)])
+    texts = marked_spans(
+        rows.select(F.col("_number").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), carried.alias("carried")),
+        _whole_characters, "doc_id long, text string", length)
+    text = F.when(F.col("carried.null"), None).otherwise(F.col("text"))
+    return texts.select(*[(text if c == text_column else F.col(f"carried.c{others.index(c)}")).alias(c) for c in docs.columns]).unionByName(
         docs.where(F.col(f"`{id_column}`").isNull()))
