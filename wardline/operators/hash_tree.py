@@ -51,9 +51,9 @@ def depth(buckets: int) -> int:
     return levels
 
 
-def leaves(rows: DataFrame, by: Sequence[str] = (), hash_column: str = HASH) -> DataFrame:
-    """(by, node, row_count, hash_sum) of each bucket that has rows."""
-    return rows.groupBy(*by, F.col(BUCKET).alias("node")).agg(*checksum_columns(hash_column))
+def leaves(rows: DataFrame, by: Sequence[str] = (), checksum: Sequence[Column] = ()) -> DataFrame:
+    """(by, node, row_count, hash_sum) of each bucket that has rows; ``checksum``: both as aggregates, if not those of ``HASH``."""
+    return rows.groupBy(*by, F.col(BUCKET).alias("node")).agg(*(checksum or checksum_columns(HASH)))
 
 
 def grown(bottom: DataFrame, buckets: int, by: Sequence[str] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
-from wardline.functions.identity import EMPTY_SUM, added_sums, canonical_json, merged_checksums
+from wardline.functions.identity import EMPTY_SUM, added_sums, canonical_json, merged_checksums, stored_checksum
 from wardline.functions.local import local_table, union_all
 from wardline.operators import hash_tree, layers, quality
 from wardline.operators.hash_tree import BUCKET
@@ -169,7 +169,7 @@ class IncrementalLake(Lake):
             layers.gold_transform(silver), self.root, "gold", o.entity, schemas.ENTITY_KEYS[o.entity],
             schemas.CLUSTER_KEYS.get(o.entity, ()))
         part, checks = self._measured(o, "gold", path, quality.gold_rules(o.entity))
-        return part, self._extended("gold", base, part, batch), [self._input_check(o, "silver"), *checks]
+        return part, self._extended("gold", base, part, batch), [*self._input_check(o, "silver"), *checks]
 
     def _silver_part(self, o: ObjectVersion, base: ObjectVersion | None, parent: Snapshot, batch: str):
         """Typed rows of keys that are new: the first of each in the batch, if the state's bucket does not hold the key."""
@@ -198,12 +198,12 @@ class IncrementalLake(Lake):
             part = replace(part, rejected_path=rejected_path, rejected_reasons=json.dumps(counts, sort_keys=True))
         whole = self._extended("silver", base, part, batch, buckets)
         self._grow_tree(whole, base, path, buckets)
-        return part, whole, [self._input_check(o, "bronze"), *checks]
+        return part, whole, [*self._input_check(o, "bronze"), *checks]
 
     def _grow_tree(self, whole: ObjectVersion, base: ObjectVersion | None, path: str, buckets: int) -> None:
         """The base's leaves and those of the new part add up; no row of the base is looked at."""
         stored = self.spark.read.schema(f"{schemas.RECORD_HASH} STRING, {BUCKET} INT").parquet(path)
-        bottom = hash_tree.leaves(stored, hash_column=schemas.RECORD_HASH)
+        bottom = hash_tree.leaves(stored, checksum=stored_checksum())
         if base:
             old = self.tree(base).where("level = 0").select("node", "row_count", "hash_sum")
             bottom = merged_checksums(bottom.unionByName(old), ["node"])
