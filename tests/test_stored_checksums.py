@@ -2,11 +2,13 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.conftest import SF_DIR
 from wardline.functions import identity as ident
+from wardline.plans.incremental import IncrementalLake
 from wardline.plans.lake_run import Lake
 from wardline.sources import lines
 
@@ -37,13 +39,14 @@ def test_no_row_has_its_digits_read_as_numbers(spark):
     assert "conv(substring" not in plan and "xxhash64" in plan
 
 
-def test_raw_lines_are_read_once_for_their_publication_and_once_for_bronze(spark, tables, lake_root, monkeypatch):
+@pytest.mark.parametrize("kind", [Lake, IncrementalLake])
+def test_raw_lines_are_read_once_for_their_publication_and_once_for_bronze(spark, tables, lake_root, monkeypatch, kind):
     read = []
     text = type(spark.read).text
     monkeypatch.setattr(type(spark.read), "text", lambda self, path, *more, **named: read.append(path) or text(self, path, *more, **named))
-    lake = Lake(spark, lake_root)
+    lake = kind(spark, lake_root)
     paths = lake.write_batch({e: tables[e] for e in ("providers", "hospitals")}, "b")
-    done = lake.run(paths, "clinical", "b")
+    done = lake.run(paths, "clinical", "b") if kind is Lake else lake.apply(paths, "clinical", "b")
     assert done["bronze"].passed and sorted(read) == sorted([*paths.values(), *paths.values()])
     assert {o.entity: o.row_count for o in done["bronze"].objects} == {e: tables[e].count() for e in paths}
 

@@ -132,7 +132,7 @@ def write_buckets(placed: DataFrame, path: str, keys: Sequence[str], row_hash: C
     """Rows that know their bucket, each in its bucket's folder and sorted by key."""
     met = storage.with_binary_hash(placed).repartition(BUCKET).sortWithinPartitions(BUCKET, *keys)
     done = storage.with_hex_hash(met) if row_hash is None else met.withColumn(HASH, row_hash)
-    done.write.partitionBy(BUCKET).mode("errorifexists").option("compression", storage.CODEC).parquet(path)
+    done.write.partitionBy(BUCKET).mode("errorifexists").options(**storage.OBJECT_OPTIONS).parquet(path)
 
 
 def write_snapshot(

@@ -184,9 +184,6 @@ class IncrementalLake(Lake):
         path = f"{self._state_root(o.entity)}/{_PART}={uuid.uuid4().hex}"
         hash_tree.write_buckets(firsts, path, keys)
         part, checks = self._measured(o, "silver", path, quality.silver_rules(o.entity))
-        identifiers = quality.identifier_rule(o.entity)
-        if identifiers:
-            checks += _verdicts(quality.row_rules(bronze, o.entity, identifiers))
         if part.rejected:
             kept = self.spark.read.schema(schemas.lake_schema(o.entity, typed=True)).parquet(path)
             place = [schemas.SOURCE_FILE, schemas.ROW_ORDER]
@@ -198,7 +195,7 @@ class IncrementalLake(Lake):
             part = replace(part, rejected_path=rejected_path, rejected_reasons=json.dumps(counts, sort_keys=True))
         whole = self._extended("silver", base, part, batch, buckets)
         self._grow_tree(whole, base, path, buckets)
-        return part, whole, [*self._input_check(o, "bronze"), *checks]
+        return part, whole, [*self._input_check(o, "bronze", quality.identifier_rule(o.entity)), *checks]
 
     def _grow_tree(self, whole: ObjectVersion, base: ObjectVersion | None, path: str, buckets: int) -> None:
         """The base's leaves and those of the new part add up; no row of the base is looked at."""
